@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Word pattern of the contracts: runs of anything but space, tab, LF, VT, FF, CR.
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         column = batch.column(batch.schema.get_field_index(text))
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < batch.num_rows:
             done = sizes[begin - 1] if begin else 0

@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shardflow.llm import mixing, sharding
+from shardflow.llm import bpe, mixing, sharding, token_counts
 from shardflow.llm.common import documents
 
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 SHARDS = 24
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), PIECES)
+
+
 def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), sharding.Tree.even(SHARDS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_source_mixing, op8_hash_tree_sharding)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_source_mixing, op7_token_counts, op8_hash_tree_sharding)}
 
 
 OP4_SQL = r"""
