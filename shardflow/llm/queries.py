@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shardflow.llm import bpe, mixing, sharding, token_counts
+from shardflow.llm import bpe, fingerprints, mixing, near_dedup, quality, secrets, sharding, token_counts
 from shardflow.llm.common import documents
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,10 +21,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
 
 
+def held_out(name: str = "doc_id"):
+    return F.crc32(F.col(name).cast("string")) % 3 == 1
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Learnt from the rows that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.fit(documents(spark, sf_dir), labels.where(~held_out()))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(documents(spark, sf_dir), quality_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(documents(spark, sf_dir))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), PIECES)
 
@@ -32,8 +56,12 @@ def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), sharding.Tree.even(SHARDS))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_source_mixing, op7_token_counts, op8_hash_tree_sharding)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_quality_classifier, op4_source_mixing, op5_quartile_digest, op6_secret_scan, op7_token_counts, op8_hash_tree_sharding, op10_minhash_near_dedup)}
 
 
 OP4_SQL = r"""
