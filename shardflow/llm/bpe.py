@@ -33,30 +33,28 @@ from shardflow.llm.common import column, rows, slices, texts
 #: A single space between two characters that aren't white space, as the patterns' \s has it.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
 _CUT = regex.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
-_WIDE = regex.compile(rf" [{_WHITE}]|[{_WHITE}] |^ | $")
+_EDGE = regex.compile(rf"^[{_WHITE}]|[{_WHITE}]$|^$")
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the lowest rank's leftmost position."""
+    """Positions by rank (under 2**18); ``pop`` gives the lowest rank's leftmost position."""
 
     __slots__ = ("buckets", "leaf", "mid", "top")
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.leaf: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
+        self.leaf, self.mid, self.top = [0] * 4096, [0] * 64, 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is None:
+            self.buckets[rank] = [position]
+            word, block = rank >> 6, rank >> 12
+            self.leaf[word] |= 1 << (rank & 63)
+            self.mid[block] |= 1 << (word & 63)
+            self.top |= 1 << block
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, block = rank >> 6, rank >> 12
-        self.leaf[word] = self.leaf.get(word, 0) | 1 << (rank & 63)
-        self.mid[block] = self.mid.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
 
     def pop(self) -> tuple[int, int]:
         """(rank, position), or (-1, -1) if there is nothing."""
@@ -69,22 +67,25 @@ class RankQueue:
         bits = self.leaf[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.leaf[word] = bits = bits & (bits - 1)
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.leaf[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.mid[block] = bits = self.mid[block] & ~(1 << (word & 63))
             if not bits:
-                self.mid[block] = bits = self.mid[block] & ~(1 << (word & 63))
-                if not bits:
-                    self.top = top & ~(1 << block)
-        return rank, position
+                self.top = top & ~(1 << block)
+        return rank, bucket[0]
 
 
 class Codec:
     """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 200_000):
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
         self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.queue = RankQueue()  # empty again after each use
         size = max(ranks.values(), default=-1) + 1
         by_id = [b""] * size
         for token, rank in ranks.items():
@@ -105,7 +106,7 @@ class Codec:
         if whole is not None:
             return [whole]
         n = len(piece)
-        ends, before, pair, queue = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n, RankQueue()
+        ends, before, pair, queue = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n, self.queue
         get, push = ranks.get, queue.push
         for i in range(n - 1):
             rank = get(piece[i : i + 2])
@@ -140,29 +141,36 @@ class Codec:
             i = ends[i]
         return ids
 
-    def _part(self, part: str) -> bytes:
-        ids = [i for piece in self.pattern.findall(part) for i in self.merged(piece.encode())]
-        coded = np.array(ids, "<u4").tobytes()
-        if len(part) <= 100:
-            if len(self.parts) >= self.keep:
-                for old in list(self.parts)[: self.keep // 2]:
-                    del self.parts[old]
-            self.parts[part] = coded
+    def _keep(self, known: dict[str, bytes], key: str, coded: bytes) -> bytes:
+        if len(key) <= 100:
+            if len(known) >= self.keep:
+                for old in list(known)[: self.keep // 2]:
+                    del known[old]
+            known[key] = coded
         return coded
 
+    def _pieces(self, part: str) -> bytes:
+        """The ids of a part, piece by piece."""
+        known, out = self.pieces, []
+        for piece in self.pattern.findall(part):
+            out.append(known.get(piece) or self._keep(known, piece, np.array(self.merged(piece.encode()), "<u4").tobytes()))
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if _WIDE.search(text):
-            cut = _CUT.split(text)
-        else:
-            cut = text.split(" ")
-        # The first part has no space before it, the others do.
-        known, out = self.parts.get, []
-        for i, part in enumerate(cut):
-            if i:
-                part = " " + part
-            out.append(known(part) or (self._part(part) if part else b""))
-        return b"".join(out)
+        if not text:
+            return b""
+        # All parts but the first have a space before them, and ``parts`` has them without it.
+        first, *cut = text.split(" ")
+        out = list(map(self.parts.get, cut))
+        if None in out or _EDGE.search(first):
+            if _EDGE.search(first) or any(_EDGE.search(cut[i]) for i, x in enumerate(out) if x is None):
+                first, *cut = _CUT.split(text)
+                out = list(map(self.parts.get, cut))
+            for i, x in enumerate(out):
+                if x is None:
+                    out[i] = self.parts.get(cut[i]) or self._keep(self.parts, cut[i], self._pieces(" " + cut[i]))
+        return b"".join([self._pieces(first), *out])
 
     def decode(self, coded: bytes) -> bytes:
         ids = np.frombuffer(coded, "<u4")

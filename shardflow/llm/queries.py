@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm import bpe, fingerprints, mixing, near_dedup, quality, secrets, sharding, token_counts
+from shardflow.llm import bpe, fingerprints, mixing, near_dedup, perplexity, quality, secrets, sharding, token_counts
 from shardflow.llm.common import documents
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,12 +56,16 @@ def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), sharding.Tree.even(SHARDS))
 
 
+def op9_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(documents(spark, sf_dir))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_quality_classifier, op4_source_mixing, op5_quartile_digest, op6_secret_scan, op7_token_counts, op8_hash_tree_sharding, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_quality_classifier, op4_source_mixing, op5_quartile_digest, op6_secret_scan, op7_token_counts, op8_hash_tree_sharding, op9_ngram_perplexity, op10_minhash_near_dedup)}
 
 
 OP4_SQL = r"""
