@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm import bpe, fingerprints, mixing, near_dedup, perplexity, quality, secrets, sharding, token_counts
+from shardflow.llm import bpe, fingerprints, mixing, near_dedup, perplexity, quality, secrets, sharding, suffix_dedup, token_counts
 from shardflow.llm.common import documents
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 24
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir)).drop("removed")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -65,7 +69,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_quality_classifier, op4_source_mixing, op5_quartile_digest, op6_secret_scan, op7_token_counts, op8_hash_tree_sharding, op9_ngram_perplexity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_byte_bpe, op3_quality_classifier, op4_source_mixing, op5_quartile_digest, op6_secret_scan, op7_token_counts, op8_hash_tree_sharding, op9_ngram_perplexity, op10_minhash_near_dedup)}
 
 
 OP4_SQL = r"""
