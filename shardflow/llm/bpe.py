@@ -2,9 +2,9 @@
 
 A pre-token's bytes form a linked list.  Every adjacent pair whose joined bytes have a
 merge rank stands in the bucket of that rank, as the position of its left part.  A
-bitmap in three levels of 64-bit words says which buckets hold something; finding the
-first set bit level by level gives the lowest rank in constant time, whatever the length of the
-pre-token.  Merging a pair adds the two pairs beside it and makes older entries stale;
+bitmap in two levels (words of 256 ranks, and a word over these) says which buckets hold
+something; finding the first set bit level by level gives the lowest rank in constant
+time, whatever the length of the pre-token.  Merging a pair adds the two pairs beside it and makes older entries stale;
 these are recognised (the position no longer starts a pair of that rank) and skipped.
 Equal ranks go from left to right, as a bucket is a heap of positions.  Time grows as
 n log n at most, so that one pre-token of a megabyte does no harm.
@@ -36,56 +36,20 @@ _CUT = regex.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 _EDGE = regex.compile(rf"^[{_WHITE}]|[{_WHITE}]$|^$")
 
 
-class RankQueue:
-    """Positions by rank (under 2**18); ``pop`` gives the lowest rank's leftmost position."""
-
-    __slots__ = ("buckets", "leaf", "mid", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaf, self.mid, self.top = [0] * 4096, [0] * 64, 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word, block = rank >> 6, rank >> 12
-            self.leaf[word] |= 1 << (rank & 63)
-            self.mid[block] |= 1 << (word & 63)
-            self.top |= 1 << block
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) if there is nothing."""
-        top = self.top
-        if not top:
-            return -1, -1
-        block = (top & -top).bit_length() - 1
-        bits = self.mid[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
-        bits = self.leaf[word]
-        rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        self.leaf[word] = bits = bits & (bits - 1)
-        if not bits:
-            self.mid[block] = bits = self.mid[block] & ~(1 << (word & 63))
-            if not bits:
-                self.top = top & ~(1 << block)
-        return rank, bucket[0]
+#: Bit i, and bit i in a word of 256.
+_BIT = [1 << i for i in range(1024)]
 
 
 class Codec:
     """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 600_000):
         self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
+        if max(ranks.values(), default=0) >> 8 >= len(_BIT):
+            raise ValueError("more ranks than the bitmap has")
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.queue = RankQueue()  # empty again after each use
+        self.leaf = [0] * (max(ranks.values(), default=0) // 256 + 1)  # all zero between calls
         size = max(ranks.values(), default=-1) + 1
         by_id = [b""] * size
         for token, rank in ranks.items():
@@ -100,44 +64,73 @@ class Codec:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
 
     def merged(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """The ids of one pre-token.
+
+        The queue is written out here, as calls would double the time: ``buckets`` holds
+        the positions of each rank (one, or a heap), ``leaf`` has a bit for each rank with a bucket,
+        and ``top`` has a bit for each word of ``leaf`` that isn't zero.
+        """
+        get, bit = self.ranks.get, _BIT
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        ends, before, pair, queue = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n, self.queue
-        get, push = ranks.get, queue.push
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
+        ends, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * (n + 1)
+        leaf, top = self.leaf, 0
+        buckets: dict[int, int | list[int]] = {}
+        bucket_of = buckets.get
+        new = [(i, rank) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
         while True:
-            rank, i = queue.pop()
-            if rank < 0:
+            for i, rank in new:
+                pair[i] = rank
+                bucket = bucket_of(rank)
+                if bucket is None:
+                    buckets[rank] = i
+                    word = rank >> 8
+                    leaf[word] |= bit[rank & 255]
+                    top |= bit[word]
+                elif type(bucket) is list:
+                    heappush(bucket, i)
+                else:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+            while top:
+                # The first set bit of each level gives the lowest rank.
+                word = (top & -top).bit_length() - 1
+                bits = leaf[word]
+                low = bits & -bits
+                rank = (word << 8) + low.bit_length() - 1
+                bucket = buckets[rank]
+                if type(bucket) is list:
+                    i = heappop(bucket)
+                    if len(bucket) == 1:
+                        buckets[rank] = bucket[0]
+                else:
+                    i = bucket
+                    del buckets[rank]
+                    leaf[word] = bits = bits ^ low
+                    if not bits:
+                        top ^= bit[word]
+                if pair[i] == rank:
+                    break
+                # Stale: the pair is gone.
+            else:
                 break
-            if pair[i] != rank:
-                continue  # stale
             middle = ends[i]
             end = ends[i] = ends[middle]
             pair[i] = pair[middle] = -1
+            new = []
             if end < n:
                 before[end] = i
-                new = get(piece[i : ends[end]])
-                if new is not None:
-                    pair[i] = new
-                    push(new, i)
+                if (rank := get(piece[i : ends[end]])) is not None:
+                    new.append((i, rank))
             left = before[i]
             if left >= 0:
-                new = get(piece[left:end])
                 pair[left] = -1
-                if new is not None:
-                    pair[left] = new
-                    push(new, left)
+                if (rank := get(piece[left:end])) is not None:
+                    new.append((left, rank))
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : ends[i]]])
+            ids.append(get(piece[i : ends[i]]))
             i = ends[i]
         return ids
 
@@ -217,6 +210,24 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
+def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (array), decoded_sha256 of every row: what a trainer reads."""
+    kept = ["doc_id", "lang", "source"]
+    schema = pa.schema([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in slices(batches, most=2 << 20):
+            coded = [own.encode(x) for x in texts(batch)]
+            ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            hashed = [hashlib.sha256(own.decode(x)).hexdigest() for x in coded]
+            own_columns = rows(schema, [len(x) // 4 for x in coded], ids, hashed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *own_columns.columns], names=[*kept, *schema.names])
+
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in kept) + ", n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, encoded and decoded again in one pass."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -1,13 +1,12 @@
 import base64
 import random
-import sys
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from shardflow.llm.bpe import Codec, RankQueue
+from shardflow.llm.bpe import Codec
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", " ", "  ", "a", "a  b", " a b ", "x\n y", "x \ny", "\n\n  a\t\tb ", "don't we'll 'sx", "日本語 テスト １２３ ½ x", "a" * 5000, "ab" * 3000 + " c", "\x1c a\x1db \x85 c\xa0 d", "é́ ñ z", "!!! ??? a!!b", "<|endoftext|> x", "🙂🙂 🙂", "\x00\x01 \x00"]
@@ -39,11 +38,23 @@ def test_bounded_cache(both):
     assert len(codec.parts) <= 11
 
 
-def test_queue_gives_lowest_rank_leftmost():
-    queue, draw = RankQueue(), random.Random(1)
-    entries = [(draw.randrange(50_000), draw.randrange(100)) for _ in range(2000)]
-    for x in entries:
-        queue.push(*x)
-    assert [queue.pop() for _ in entries] == sorted(entries)
-    assert queue.pop() == (-1, -1)
-    assert sys.getsizeof(queue.top) < 100
+def test_queue_is_empty_after_use(both):
+    codec = both[0]
+    codec.merged(b"abracadabra" * 50 + b"\xff\x00")
+    assert not any(codec.leaf)
+
+
+def test_ranks_in_any_order_merge_lowest_first_leftmost():
+    """Against the plain rule, with ranks that no training would give."""
+    draw = random.Random(8)
+    for _ in range(300):
+        tokens = [bytes([c]) for c in b"abc"] + list({bytes(draw.choice(b"abc") for _ in range(draw.randrange(2, 6))) for _ in range(12)})
+        numbers = draw.sample(range(9000), len(tokens))
+        codec = Codec(dict(zip(tokens, numbers)), r".+")
+        piece = bytes(draw.choice(b"abc") for _ in range(draw.randrange(1, 40)))
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while pairs := [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in codec.ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        wanted = [codec.ranks[piece]] if piece in codec.ranks else [codec.ranks[x] for x in parts]
+        assert codec.merged(piece) == wanted
