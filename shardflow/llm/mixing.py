@@ -74,13 +74,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Options as in ``mix``.  ``n_chars``, if there, follows a cut text.
     """
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "source", "text"))
+    rid = F.xxhash64("doc_id", "source", "text")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), rid.alias("_rid"))
     # Equal rows are one row that is taken as often as they are together.
-    taken = mix(keyed, **options).where("taken > 0").groupBy("_rid").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
+    taken = mix(docs.select("doc_id", "source", "text", rid.alias("_rid")), **options).where("taken > 0").groupBy("_rid").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
     each = keyed.dropDuplicates(["_rid"]).join(taken, "_rid")
     each = each.withColumn("_words", F.explode(F.expr("transform(sequence(1, CAST(ceil(_taken / _size) AS INT)), i -> least(_size, _taken - (i - 1) * _size))")))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    each = each.withColumn("text", F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text")))
+    head = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    whole = F.col("_words") == F.col("_size")
+    each = each.withColumn("_text", F.when(whole, F.col("_row.text")).otherwise(head))
+    out = {c: F.col("_row").getField(c) for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return each.select(*docs.columns)
+        out["n_chars"] = F.when(whole, F.col("_row.n_chars")).otherwise(F.char_length("_text").cast("long"))
+    return each.select(*(x.alias(c) for c, x in out.items()))
