@@ -102,5 +102,41 @@ FROM placed
 """
 
 
+def _tree_sql(name: str, tree: sharding.Tree) -> str:
+    """Tables with the shard of each key: three draws, each among the children of the node drawn before."""
+    nodes = ", ".join(f"('{parent}', '{node}', {weight!r}::DOUBLE, {value})" for parent, node, weight, value in sharding.nodes_of(tree))
+    draw = "-ln((CAST('0x' || substr(md5(n.node || ':' || d.k), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / n.weight"
+    out = f"{name}_nodes(parent, node, weight, value) AS (VALUES {nodes}),\n{name}_0 AS (SELECT DISTINCT k, '' AS node, 0 AS value FROM keyed)"
+    for level in (1, 2, 3):
+        out += f",\n{name}_{level} AS (SELECT d.k, arg_min(n.node, {draw}) AS node, arg_min(n.value, {draw}) AS value FROM {name}_{level - 1} d JOIN {name}_nodes n ON n.parent = d.node GROUP BY d.k)"
+    return out
+
+
+def op8_sql(shards: int = SHARDS, buckets: int = 512) -> str:
+    tree = sharding.Tree.even(shards)
+    return f"""
+WITH RECURSIVE steps AS (
+  SELECT i, CAST(i AS BIGINT) AS v, 0 AS n FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE n = 8),
+keyed AS (
+  SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(COALESCE(text, ''))) AS h,
+         CAST('0x' || substr(md5('slot:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 7) AS BIGINT) % {buckets} AS bucket
+  FROM documents),
+{_tree_sql("now", tree)},
+{_tree_sql("grown", tree.grown())},
+sized AS (
+  SELECT doc_id, k, bucket, CAST(len(h) // 2 + 8 AS BIGINT) AS size,
+         xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM keyed, crc_table)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(n.value AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY n.value ORDER BY bucket, k, size, text_crc32) - 1 AS slot,
+       CAST(g.value AS INTEGER) AS grown_shard
+FROM sized JOIN now_3 n USING (k) JOIN grown_3 g USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op8_hash_tree_sharding": op8_sql()}

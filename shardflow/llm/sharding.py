@@ -64,6 +64,17 @@ def _drawn(key: str, children: str) -> str:
     return f"array_min(transform({children}, c -> named_struct('draw', -ln({_UNIFORM.format(key=key)}) / c.weight, 'value', c.value))).value"
 
 
+def nodes_of(tree: Tree) -> list[tuple[str, str, float, int]]:
+    """(parent, name, weight, value) of every node below the root; the value of a shard is its number."""
+    out = []
+    for r, region in enumerate(tree.regions):
+        out.append(("", f"r{r}", _weight(region), r))
+        for k, rack in enumerate(region):
+            out.append((f"r{r}", f"r{r}k{k}", _weight(rack), k))
+            out += [(f"r{r}k{k}", f"s{s}", w, s) for s, w in rack]
+    return out
+
+
 def placed(df: DataFrame, tree: Tree, key: str, out: str) -> DataFrame:
     """``df`` with the shard of the string column ``key`` in the column ``out``: one draw at each level."""
     regions = _children([(f"r{r}", _weight(x), r) for r, x in enumerate(tree.regions)])
@@ -87,7 +98,7 @@ def shard_documents(docs: DataFrame, tree: Tree, buckets: int = 512) -> DataFram
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+    keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), "_key")), 1, 7), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
     shards = placed(keyed.select("_key", "_bucket"), tree, "_key", "shard")
     sized = keyed.select("doc_id", "_key", "_bucket", (F.octet_length("_text") + 8).cast("long").alias("size"), F.crc32("_text").alias("text_crc32"), F.lit("key").alias("law"))
     whole = placed(placed(sized, tree, "_key", "shard"), tree.grown(), "_key", "grown_shard")
