@@ -82,7 +82,7 @@ def test_kneser_ney_as_defined():
         return (c - discount(k, c)) / total + held / total * below
 
     grams = list(counts[n])
-    model = perplexity.build(["en"] * len(grams), grams, np.array([counts[n][g] for g in grams]))
+    model = perplexity.build(perplexity.coded(grams), perplexity.seeded(["en"] * len(grams)), np.array([counts[n][g] for g in grams]))
     for text in ["abra cat", "zebra", "ab", "bandana the", "qq"]:
         codes, seeds, real, _ = perplexity._codes([text], ["en"])
         found = model.log_probabilities(codes, seeds)[real]
