@@ -74,7 +74,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Options as in ``mix``.  ``n_chars``, if there, follows a cut text.
     """
-    rid = F.xxhash64("doc_id", "source", "text")
+    rid = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), F.coalesce("text", F.lit(""))))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), rid.alias("_rid"))
     # Equal rows are one row that is taken as often as they are together.
     taken = mix(docs.select("doc_id", "source", "text", rid.alias("_rid")), **options).where("taken > 0").groupBy("_rid").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))

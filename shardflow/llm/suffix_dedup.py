@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import Hasher, column, rows, slices, stored, texts
+from shardflow.llm.common import Hasher, column, released, rows, slices, stored, texts
 
 ANCHOR = 32
 STEP = 25
@@ -80,21 +80,22 @@ def anchors_of(encoded: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``rid``, the same for rows equal in both only."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"))
+    """doc_id, text, and ``did`` and ``rid``, which are the same together for rows equal in both only."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("rid"))
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """rid, begin, size, anchor, context, place of all texts."""
-    schema = pa.schema([("rid", pa.int64()), ("begin", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int32())])
+    """did, rid, begin, size, anchor, context, place of all texts."""
+    schema = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("begin", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             text, *found = anchors_of([x.encode() for x in texts(batch)], length)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield rows(schema, ids[text], *(x.astype(f.type.to_pandas_dtype()) for x, f in zip(found, list(schema)[1:], strict=True)))
+            dids, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield rows(schema, dids[text], rids[text], *(x.astype(f.type.to_pandas_dtype()) for x, f in zip(found, list(schema)[2:], strict=True)))
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, begin int, size int, anchor long, context long, place int")
+    return docs.select("did", "rid", "text").mapInArrow(run, "did long, rid long, begin int, size int, anchor long, context long, place int")
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -181,8 +182,8 @@ def _runs(mask: np.ndarray) -> list[int]:
 
 def _merged(classes: DataFrame, docs: DataFrame, length: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """anchor, context, runs (of repeated windows) of every class."""
-    wanted = classes.groupBy("rid").agg(F.collect_list(F.struct("begin", "size", "anchor", "context", "n")).alias("wanted"))
-    text = docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).select("text", "wanted")
+    wanted = classes.groupBy("did", "rid").agg(F.collect_list(F.struct("begin", "size", "anchor", "context", "n")).alias("wanted"))
+    text = docs.select("did", "rid", "text").join(wanted, ["did", "rid"]).dropDuplicates(["did", "rid"]).select("text", "wanted")
     schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +218,8 @@ def _merged(classes: DataFrame, docs: DataFrame, length: int, batch_bytes: int =
 
 def _counted(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The same for classes of hot anchors, by counting windows."""
-    wanted = classes.groupBy("rid").agg(F.collect_list(F.struct("begin", "size", "anchor", "context", "n", "place")).alias("wanted"))
-    text = docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).select("text", "wanted")
+    wanted = classes.groupBy("did", "rid").agg(F.collect_list(F.struct("begin", "size", "anchor", "context", "n", "place")).alias("wanted"))
+    text = docs.select("did", "rid", "text").join(wanted, ["did", "rid"]).dropDuplicates(["did", "rid"]).select("text", "wanted")
     schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("place", pa.int32()), ("window", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +250,11 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 4096) -> DataFrame:
         raise ValueError("length must be 50, 75, 100, ...")
     keyed = _keyed(docs)
     every = stored(contexts(keyed, length))
-    classes = every.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "begin", "size", "place")).alias("one"))
+    classes = every.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("did", "rid", "begin", "size", "place")).alias("one"))
     classes = classes.select("anchor", "context", "n", "one.*")
     spread = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1").drop("times")
     classes = stored(classes.join(spread, "anchor"))
+    released(docs.sparkSession)
     alone = classes.where("kinds = 1").select("anchor", "context", F.array(F.lit(0), F.col("size")).alias("runs"))
     merged = _merged(classes.where(f"kinds > 1 AND kinds <= {most}"), keyed, length)
     found = alone.unionByName(merged)
@@ -260,8 +262,8 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 4096) -> DataFrame:
     if not hot.isEmpty():
         found = found.unionByName(_counted(hot, keyed, length))
     found = stored(found.where("size(runs) > 0"))
-    covered = every.select("rid", "begin", "anchor", "context").join(found, ["anchor", "context"]).select("rid", F.explode(F.expr(f"transform(sequence(0, size(runs) DIV 2 - 1), i -> named_struct('b', begin + runs[2 * i], 'e', begin + runs[2 * i + 1] + {length - 1}))")).alias("x"))
-    ranges = covered.groupBy("rid").agg(F.collect_set("x").alias("ranges"))
+    covered = every.select("did", "rid", "begin", "anchor", "context").join(found, ["anchor", "context"]).select("did", "rid", F.explode(F.expr(f"transform(sequence(0, size(runs) DIV 2 - 1), i -> named_struct('b', begin + runs[2 * i], 'e', begin + runs[2 * i + 1] + {length - 1}))")).alias("x"))
+    ranges = covered.groupBy("did", "rid").agg(F.collect_set("x").alias("ranges"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,4 +281,5 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 4096) -> DataFrame:
                 got.append((i, len(data), len(data) - len(kept), len(gone) // 2, hashlib.sha256(kept).hexdigest(), gone))
             yield rows(schema, *zip(*got, strict=True))
 
-    return keyed.join(ranges, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
+    released(docs.sparkSession)
+    return keyed.join(ranges, ["did", "rid"], "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
