@@ -9,12 +9,16 @@ in a million.  Candidates are compared by signature, then exactly on their full
 The work follows the groups, not their pairs:
 
 1. Documents with equal sets are one node, the smallest doc_id, found by a partial aggregation.
-2. Every member of a bucket is paired with the bucket's smallest node.  First each node
-   takes the smallest such partner, then all of them, and after each round the components
-   of the confirmed links are found.
-3. What is left are pairs in one bucket but in different components.  All of these are
-   compared, in whatever number, so that no link is lost; a pair inside a component is
-   never made, as it could change nothing.
+2. Every member of a bucket is paired with the bucket's smallest node: first each node with
+   the smallest such partner, then with all, then with the largest nodes of its buckets.
+   After each round the components of the confirmed links are found, and a pair inside one
+   is not made again, as it could change nothing.
+3. What is left are pairs in one bucket but in different components.  Buckets that still
+   hold several components are tied together to clusters (again by components), and in
+   each cluster the nodes outside its largest component are queries, in blocks: every
+   node of the cluster goes to each block once, with its signature, and is compared there
+   with all queries of other components.  Only pairs with like signatures leave the task:
+   first the best for each query and component, then, for what these don't join, all.
 
 Links are confirmed on full sets: ``100 * intersection >= 75 * union``.
 
@@ -33,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import Words, column, mixed, rows, slices, stored, texts, windows
+from shardflow.llm.common import Words, column, mixed, released, rows, slices, stored, texts, windows
 from shardflow.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 52, 5
 #: Links need ``100 * intersection >= LIKE * union``.
 LIKE = 75
-#: Pairs whose signatures agree less are dropped before the exact comparison: over six standard deviations below 0.75.
-SIGNED = 0.58
+#: Pairs whose signatures agree less are dropped before the exact comparison: almost five standard deviations below 0.75.
+SIGNED = 0.62
 
 
 def shingle_sets(encoded: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +97,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             values, first = shingle_sets([x.encode() for x in texts(batch)])
             counts = np.diff(first)
             full = np.flatnonzero(counts)
@@ -131,7 +135,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             values, first = shingle_sets([x.encode() for x in texts(batch)])
             yield rows(schema, batch.column(0), [values[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)])
 
@@ -165,6 +169,57 @@ def _alike(pairs: DataFrame, table: DataFrame, name: str, exact: bool) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _like_pairs(placed: DataFrame, classes: DataFrame, best: bool, block: int = 1024) -> DataFrame | None:
+    """a, b: pairs of nodes in different components (``of``) of one cluster with like signatures, or None if no bucket holds several components; with ``best`` the likest for each node and component, of those met together."""
+    apart = placed.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("band")
+    open_members = stored(placed.join(apart, "band", "left_semi"))
+    if open_members.isEmpty():
+        return None
+    hubs = open_members.groupBy("band").agg(F.min("id").alias("hub"))
+    ties = components(open_members.join(hubs, "band").select("id", "hub").where("id != hub"), "id", "hub").withColumnRenamed("component", "cluster")
+    nodes = stored(open_members.select("id", "of").distinct().join(ties, "id").select("cluster", "id", "of"))
+    sizes = nodes.groupBy("cluster", "of").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "of")).alias("most"), F.sum("n").alias("all"))
+    sizes = sizes.select("cluster", F.col("most.of").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("blocks"))
+    signed = nodes.join(sizes, "cluster").join(classes.select("id", "signature"), "id")
+    queries = signed.where("of != main").select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("target"), "id", "of", "signature")
+    targets = signed.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("target"), "id", "of", "signature")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = int(np.ceil(SIGNED * BANDS * ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked = None, ([], [], [])
+        for batch in batches:
+            held = [column(batch, x) for x in ("cluster", "block", "target", "id", "of", "signature")]
+            keys = list(zip(held[0], held[1], held[2], strict=True))
+            begin = 0
+            while begin < len(keys):
+                end = begin + 1
+                while end < len(keys) and keys[end] == keys[begin] and end - begin < 256:
+                    end += 1
+                ids, of, signed = (x[begin:end] for x in held[3:])
+                if keys[begin][:2] != at:
+                    at, asked = keys[begin][:2], ([], [], [])
+                if not keys[begin][2]:
+                    for x, y in zip(asked, (ids, of, signed), strict=True):
+                        x.extend(y)
+                elif asked[0]:
+                    p, q = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), -1) for x in (asked[2], signed))
+                    ours, theirs, own, other = (np.array(x) for x in (asked[0], ids, asked[1], of))
+                    same = np.stack([(q == row).sum(axis=1) for row in p])
+                    i, j = np.nonzero((same >= least) & (own[:, None] != other[None, :]))
+                    if best and len(i):
+                        order = np.lexsort((-same[i, j], other[j], i))
+                        i, j = i[order], j[order]
+                        first = np.ones(len(i), bool)
+                        first[1:] = (i[1:] != i[:-1]) | (other[j[1:]] != other[j[:-1]])
+                        i, j = i[first], j[first]
+                    yield rows(schema, np.minimum(ours[i], theirs[j]), np.maximum(ours[i], theirs[j]))
+                begin = end
+
+    dealt = queries.unionByName(targets).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "target")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = stored(_signed(docs))
@@ -173,29 +228,37 @@ def link(docs: DataFrame) -> DataFrame:
     bands = _banded(classes)
     buckets = bands.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(bands.join(buckets, "band"))
+    released(docs.sparkSession)
     sets = stored(_sets(docs, members.select("id").distinct()).groupBy("id").agg(F.first("items").alias("items")))
 
+    released(docs.sparkSession)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         return stored(_alike(_alike(pairs, classes, "signature", False), sets, "items", True))
 
-    stars = members.where("id != center")
-    links = confirmed(stars.groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b")))
-    found = components(links, "a", "b")
-    for last in (False, True):
-        found = stored(found)
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return found
+        return stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b"))
+
+    def placed(found: DataFrame) -> DataFrame:
+        return members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("of"))
+
+    stars = members.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    links = confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = stored(components(links, "a", "b"))
+    for end in ("low", "high"):
+        if end == "high":
+            ends = members.groupBy("band").agg(F.max("id").alias("end"))
+            stars = members.join(ends, "band").where("id != end").select(F.col("id").alias("a"), F.col("end").alias("b"))
         owned = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))  # noqa: B023, E731
-        if last:
-            placed = members.select("band", "id").join(owned("id"), "id", "left").select("band", "id", F.coalesce("of_id", "id").alias("of"))
-            apart = placed.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("band")
-            placed = placed.join(apart, "band", "left_semi")
-            other = placed.select("band", F.col("id").alias("b"), F.col("of").alias("of_b"))
-            pairs = placed.withColumnRenamed("id", "a").join(other, "band").where("a < b AND of != of_b").select("a", "b").distinct()
-        else:
-            pairs = stars.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct().join(owned("a"), "a", "left").join(owned("b"), "b", "left")
-            pairs = pairs.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
-        more = confirmed(pairs)
-        if not more.isEmpty():
-            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+        pairs = stars.distinct().join(owned("a"), "a", "left").join(owned("b"), "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
+        found = joined(found, confirmed(pairs))
+    for best in (True, False):
+        pairs = _like_pairs(placed(found), classes, best)
+        if pairs is None:
+            break
+        found = joined(found, stored(_alike(stored(pairs), sets, "items", True)))
     # A doc_id with several rows joins their classes.
     named = signed.join(classes.select("key", "n_shingles", "id"), ["key", "n_shingles"], "left").join(found, "id", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
@@ -203,6 +266,7 @@ def link(docs: DataFrame) -> DataFrame:
     if not again.isEmpty():
         joined = components(named.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "a", "b")
         named = named.join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    released(docs.sparkSession)
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -216,3 +217,18 @@ def test_near_dedup(docs, none):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(component.values()))
     assert near_dedup.link(none).count() == 0
+
+
+def test_near_dedup_of_a_large_family_with_border_cases(spark):
+    draw = random.Random(21)
+    base = [f"w{i}" for i in range(90)]
+    pairs = []
+    for i in range(160):
+        words = list(base if i % 3 else base[:45] + [f"own{i}x{j}" for j in range(60)])
+        for _ in range(draw.randrange(1, 6)):
+            words[draw.randrange(len(words))] = f"edit{draw.randrange(40)}"
+        pairs.append((i, " ".join(words)))
+    component, _ = cases.near_components(pairs)
+    found = {r.doc_id: r.component_id for r in near_dedup.link(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert found == component
+    assert 3 < len(set(component.values())) < 120
