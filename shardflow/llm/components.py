@@ -26,7 +26,7 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")  # made distinct by the other step
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ in a million.  Candidates are compared by signature, then exactly on their full
 The work follows the groups, not their pairs:
 
 1. Documents with equal sets are one node, the smallest doc_id, found by a partial aggregation.
-2. Every member of a bucket is paired with the bucket's smallest node: first each node with
-   the smallest such partner, then with all, then with the largest nodes of its buckets.
+2. Every member of a bucket is paired with the bucket's smallest node, then with its largest.
    After each round the components of the confirmed links are found, and a pair inside one
    is not made again, as it could change nothing.
 3. What is left are pairs in one bucket but in different components.  Buckets that still
@@ -169,20 +168,24 @@ def _alike(pairs: DataFrame, table: DataFrame, name: str, exact: bool) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _like_pairs(placed: DataFrame, classes: DataFrame, best: bool, block: int = 1024) -> DataFrame | None:
-    """a, b: pairs of nodes in different components (``of``) of one cluster with like signatures, or None if no bucket holds several components; with ``best`` the likest for each node and component, of those met together."""
-    apart = placed.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("band")
-    open_members = stored(placed.join(apart, "band", "left_semi"))
-    if open_members.isEmpty():
+def _clusters(placed: DataFrame) -> DataFrame | None:
+    """cluster, id: the nodes of the buckets that hold several components (``of``), tied together bucket by bucket; None if there are none."""
+    apart = placed.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("id").alias("hub")).where("low != high").select("band", "hub")
+    ties = stored(placed.join(apart, "band").where("id != hub").select("id", "hub").distinct())
+    if ties.isEmpty():
         return None
-    hubs = open_members.groupBy("band").agg(F.min("id").alias("hub"))
-    ties = components(open_members.join(hubs, "band").select("id", "hub").where("id != hub"), "id", "hub").withColumnRenamed("component", "cluster")
-    nodes = stored(open_members.select("id", "of").distinct().join(ties, "id").select("cluster", "id", "of"))
+    return stored(components(ties, "id", "hub").withColumnRenamed("component", "cluster"))
+
+
+def _like_pairs(clusters: DataFrame, found: DataFrame, classes: DataFrame, best: bool, block: int = 1024) -> DataFrame:
+    """a, b: pairs of nodes in different components of one cluster with like signatures; with ``best`` the likest for each node and component, of those met together."""
+    nodes = stored(clusters.join(found, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("of")))
     sizes = nodes.groupBy("cluster", "of").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "of")).alias("most"), F.sum("n").alias("all"))
     sizes = sizes.select("cluster", F.col("most.of").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("blocks"))
     signed = nodes.join(sizes, "cluster").join(classes.select("id", "signature"), "id")
+    # A cluster that has become one component has no blocks.
     queries = signed.where("of != main").select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("target"), "id", "of", "signature")
-    targets = signed.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("target"), "id", "of", "signature")
+    targets = signed.where("blocks > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("target"), "id", "of", "signature")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     least = int(np.ceil(SIGNED * BANDS * ROWS))
 
@@ -244,28 +247,24 @@ def link(docs: DataFrame) -> DataFrame:
     def placed(found: DataFrame) -> DataFrame:
         return members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("of"))
 
-    stars = members.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b"))
-    links = confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    found = stored(components(links, "a", "b"))
-    for end in ("low", "high"):
-        if end == "high":
-            ends = members.groupBy("band").agg(F.max("id").alias("end"))
-            stars = members.join(ends, "band").where("id != end").select(F.col("id").alias("a"), F.col("end").alias("b"))
-        owned = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))  # noqa: B023, E731
-        pairs = stars.distinct().join(owned("a"), "a", "left").join(owned("b"), "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b")
-        found = joined(found, confirmed(pairs))
-    for best in (True, False):
-        pairs = _like_pairs(placed(found), classes, best)
-        if pairs is None:
-            break
-        found = joined(found, stored(_alike(stored(pairs), sets, "items", True)))
+    low = members.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    found = stored(components(confirmed(low), "a", "b"))
+    ends = members.groupBy("band").agg(F.max("id").alias("last"))
+    high = members.join(ends, "band").where("id != last").select(F.col("id").alias("a"), F.col("last").alias("b")).distinct()
+    owned = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+    apart = high.join(owned("a"), "a", "left").join(owned("b"), "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)")
+    found = joined(found, confirmed(apart.select("a", "b")))
+    clusters = _clusters(placed(found))
+    for best in (True, False) if clusters is not None else ():
+        pairs = stored(_like_pairs(clusters, found, classes, best))
+        found = joined(found, stored(_alike(pairs, sets, "items", True)))
     # A doc_id with several rows joins their classes.
     named = signed.join(classes.select("key", "n_shingles", "id"), ["key", "n_shingles"], "left").join(found, "id", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
     again = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low != high")
     if not again.isEmpty():
-        joined = components(named.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "a", "b")
-        named = named.join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+        merged = components(named.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "a", "b")
+        named = named.join(merged.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
     released(docs.sparkSession)
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
