@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver's garbage is collected.
+
+    What one collection lets go of, the next one finds, and the deletion runs beside.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
