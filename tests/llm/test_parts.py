@@ -93,6 +93,29 @@ def test_kneser_ney_as_defined():
     assert abs(sum(probability("abr" + c) for c in set("".join(padded))) - 1) < 1e-9
 
 
+def test_perplexity_bands_reject_above_and_below(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 12))) for _ in range(300)]
+    texts = [" ".join(draw.choice(words) for _ in range(150)) for _ in range(200)]
+    longest = sorted(words, key=len)[-8:]
+    plain = [draw.choice(longest) for _ in range(150)]  # few choices, in ever new order
+    odd = [x if draw.random() < 0.75 else "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for x in texts[0].split()]
+    rows = list(enumerate([*texts, " ".join(plain), " ".join(odd)]))
+    found = {r.doc_id: r for r in perplexity.judged(spark.createDataFrame([(i, "en", x) for i, x in rows], "doc_id long, lang string, text string")).collect()}
+    below, above = found[200], found[201]
+    assert not below.base_failed and not below.kept and below.log_perplexity < below.lower
+    assert not above.base_failed and not above.kept and above.log_perplexity > above.upper
+    assert all(found[i].kept for i in range(200))
+
+
+def test_perplexity_bands_leave_room_to_languages_of_few_texts(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 8))) for _ in range(300)]
+    rows = [(i, "en" if i < 40 else "few", " ".join(draw.choice(words) for _ in range(150))) for i in range(41)]
+    found = perplexity.judged(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert all(r.kept and r.lower < r.log_perplexity < r.upper for r in found.where("doc_id = 40").collect())
+
+
 def test_bradley_terry_orders_by_preference():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(2000, 5))
