@@ -93,6 +93,40 @@ def test_kneser_ney_as_defined():
     assert abs(sum(probability("abr" + c) for c in set("".join(padded))) - 1) < 1e-9
 
 
+def _many_ngrams(spark):
+    """Texts of random characters, with far more n-grams than any fixed table would keep apart."""
+    draw = np.random.default_rng(3)
+    texts = ["".join(map(chr, draw.integers(0x4E00, 0x4E00 + 6000, 9000))) for _ in range(40)]
+    texts += [x[:50] + "." + x[:50] for x in texts] + ["", "a", None]
+    return texts, spark.createDataFrame([(i, ("de", "zh", None)[i % 3], x) for i, x in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+
+
+def test_every_ngram_is_counted(spark):
+    texts, docs = _many_ngrams(spark)
+    wanted = Counter()
+    for i, x in enumerate(texts):
+        x = chr(perplexity.START) * 3 + (x or "")
+        wanted.update((i % 3, x[k : k + 4]) for k in range(len(x) - 3))
+    assert perplexity.count_ngrams(docs).count() == len(wanted)
+    for most in (1 << 20, 5000):  # the second sends sums more than once from a task
+        found = perplexity.count_ngrams(docs, most).toArrow()
+        codes, seeds, n = perplexity._unpacked(found)
+        langs = dict(zip(perplexity.seeded(["de", "zh", "\0"]).tolist(), range(3), strict=True))
+        grams = codes.astype("<u4").tobytes().decode("utf-32-le")
+        assert wanted == {(langs[x], grams[4 * k : 4 * k + 4]): m for k, (x, m) in enumerate(zip(seeds.tolist(), n.tolist(), strict=True))}
+
+
+def test_model_in_ranges_equals_the_whole(spark):
+    _, docs = _many_ngrams(spark)
+    whole, ranges = perplexity.fit(docs), perplexity.fit(docs, 40_000)
+    assert isinstance(whole, perplexity.Model) and len(ranges.parts) > 4
+    a, b = ({r.doc_id: r for r in perplexity.measured(docs, x).collect()} for x in (whole, ranges))
+    assert len(a) == len(b) == 83
+    for i, r in a.items():
+        assert r[:-1] == b[i][:-1]
+        assert r.log_perplexity is b[i].log_perplexity is None or abs(r.log_perplexity - b[i].log_perplexity) < 1e-9
+
+
 def test_perplexity_bands_reject_above_and_below(spark):
     draw = random.Random(5)
     words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 12))) for _ in range(300)]
