@@ -130,19 +130,22 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, items (binary: the sorted shingles) of the rows of ``docs`` whose doc_id is one of ``ids``; one for each id."""
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+    """id, key, items (binary: the sorted shingles) of the rows of ``docs`` whose doc_id is one of ``ids``; ``key`` differs between the texts of one id."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             values, first = shingle_sets([x.encode() for x in texts(batch)])
-            yield rows(schema, batch.column(0), [values[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)])
+            with np.errstate(over="ignore"):
+                sums = np.append(np.uint64(0), np.cumsum(mixed(values), dtype=np.uint64))
+                keys = mixed(sums[first[1:]] - sums[first[:-1]])
+            yield rows(schema, batch.column(0), keys.view(np.int64), [values[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)])
 
-    return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, items binary")
+    return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, key long, items binary")
 
 
 def _alike(pairs: DataFrame, table: DataFrame, name: str, exact: bool) -> DataFrame:
-    """The pairs (a, b) whose signatures, or else full sets, in the column ``name`` of ``table`` are alike."""
+    """The pairs (a, b) of which some signatures, or else full sets, in the column ``name`` of ``table`` are alike; a pair may come more than once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     signed = SIGNED * BANDS * ROWS
 
@@ -232,12 +235,12 @@ def link(docs: DataFrame) -> DataFrame:
     buckets = bands.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(bands.join(buckets, "band"))
     released(docs.sparkSession)
-    sets = stored(_sets(docs, members.select("id").distinct()).groupBy("id").agg(F.first("items").alias("items")))
+    sets = stored(_sets(docs, members.select("id").distinct()).groupBy("id", "key").agg(F.first("items").alias("items")).select("id", "items"))
 
     released(docs.sparkSession)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_alike(_alike(pairs, classes, "signature", False), sets, "items", True))
+        return stored(_alike(_alike(pairs, classes, "signature", False).distinct(), sets, "items", True))
 
     def joined(found: DataFrame, links: DataFrame) -> DataFrame:
         if links.isEmpty():

@@ -10,7 +10,7 @@ import numpy as np
 
 from shardflow.llm import perplexity, secrets
 from shardflow.llm.components import components
-from shardflow.llm.near_dedup import BANDS, ROWS, SIGNED, shingle_sets, signatures
+from shardflow.llm.near_dedup import BANDS, ROWS, SIGNED, link, shingle_sets, signatures
 from shardflow.llm.quality import fit_pairs
 
 
@@ -55,6 +55,16 @@ def test_signatures_estimate_likeness_and_bands_lose_no_link():
     assert not missed
 
 
+def test_every_text_of_a_doc_id_has_its_links(spark):
+    draw = random.Random(4)
+    texts = [[f"w{draw.randrange(10**6)}" for _ in range(80)] for _ in range(3)]
+    near = [" ".join([*x[:-1], "edited"]) for x in texts]
+    a, b, c = (" ".join(x) for x in texts)
+    rows = [(9, a), (9, b), (9, c), (20, near[0]), (30, near[1]), (40, near[2]), (50, "a text like no other one of these")]
+    found = link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(9, 9), (20, 9), (30, 9), (40, 9), (50, 50)}
+
+
 def test_kneser_ney_as_defined():
     """Against a plain interpolated model with three discounts."""
     n, texts = perplexity.ORDER, ["abracadabra", "abrakadabra", "cadabra abra", "banana bandana", "the cat and the hat"]
