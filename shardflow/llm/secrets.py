@@ -7,7 +7,8 @@ list of texts that hold it.  Queries intersect and unite these lists, and only t
 left are searched.  A rule without mandatory trigrams (runs of hexadecimal digits)
 searches every text.
 
-Base rules are ``assign``, ``access`` and ``hex``; the others add spans.
+Base rules are ``assign``, ``access`` and ``hex``; the others add spans.  A private key
+goes from its header to its end line, or without one over the lines of base64 that follow.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end
 exclusive; spans of different kinds may overlap; repeated rows get equal results; other
@@ -53,8 +54,13 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # as runs of any length of which those under 24 are dropped
 )
+#: A line's end, also as written in source code.
+_BREAK = r"(?:[\x20\t]*(?:\r?\n|\\r\\n|\\n))"
+_KEY = r"(?:[A-Z0-9]+\x20){0,4}PRIVATE KEY(?: BLOCK)?-----"
+#: What follows a header without an end: header lines, then lines of base64, of which the last may be short.
+_OPEN_BODY = rf"(?:{_BREAK}+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n\\]*|=?[A-Za-z0-9+/]{{16,}}={{0,2}}(?=[\x20\t]*(?:[\r\n\"'\\]|\Z))))*(?:{_BREAK}=?[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[\x20\t]*(?:[\r\n\"'\\]|\Z)))?"
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN {_KEY}(?:(?:(?!-----BEGIN )[\s\S])*?-----END {_KEY}|{_OPEN_BODY})"),
     Rule("github", r"(?:gh[oprsu]_|github_pat_)[A-Za-z0-9_]{22,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
