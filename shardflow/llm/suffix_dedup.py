@@ -49,6 +49,20 @@ _PLACE = 26  # bits of a place in a slice
 
 def anchors_of(encoded: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """text, begin, size, anchor, context, place of every context: ``size`` windows from byte ``begin``, the anchor ``place`` bytes after it."""
+    most = 1 << _PLACE
+    if sum(map(len, encoded)) <= most:
+        return _anchors(encoded, length)
+    # In pieces that hold every window once; a context that is cut is two, as at the ends of a text.
+    found = []
+    for i, x in enumerate(encoded):
+        for piece in range(0, max(1, len(x) - length + 1), most - length + 1):
+            text, begin, *rest = _anchors([x[piece : piece + most]], length)
+            found.append((text + i, begin + piece, *rest))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(encoded: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """As ``anchors_of``, of at most ``2 ** _PLACE`` bytes."""
     starts = np.cumsum([0, *(len(x) for x in encoded)])
     none = np.zeros(0, np.int64)
     if starts[-1] < length:

@@ -8,7 +8,7 @@ from itertools import pairwise
 
 import numpy as np
 
-from shardflow.llm import perplexity, secrets
+from shardflow.llm import perplexity, secrets, suffix_dedup
 from shardflow.llm.components import components
 from shardflow.llm.near_dedup import BANDS, ROWS, SIGNED, link, shingle_sets, signatures
 from shardflow.llm.quality import fit_pairs
@@ -203,3 +203,16 @@ def test_no_match_outside_the_candidates():
     texts = ["".join(draw.choices(parts, k=draw.randrange(9))) for _ in range(2000)]
     for text, spans in zip(texts, scanner.scan(texts), strict=True):
         assert spans == sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, text) if m.end(r.group) - m.start(r.group) >= r.least)
+
+
+def test_anchors_of_texts_longer_than_places_are_counted(monkeypatch):
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(97, 123, n, np.uint8).tobytes() for n in (50, 20_000, 300, 4096, 0)]
+
+    def windows_of(found):
+        each = zip(*(x.tolist() for x in found), strict=True)
+        return sorted((text, begin + i, begin + place, anchor) for text, begin, size, anchor, _, place in each for i in range(size))
+
+    wanted = windows_of(suffix_dedup.anchors_of(texts, 200))
+    monkeypatch.setattr(suffix_dedup, "_PLACE", 12)
+    assert windows_of(suffix_dedup.anchors_of(texts, 200)) == wanted
