@@ -5,8 +5,9 @@ Every byte covered by a string of ``length`` bytes that also starts somewhere el
 *What may repeat.*  Each window of ``length`` bytes has an anchor, its 32-byte string with the smallest
 hash.  Equal windows have equal anchors at equal places, so a window whose anchor stands
 nowhere else can't repeat.  Windows with one anchor are consecutive; together they are a
-context of under 400 bytes.  Equal contexts are counted with a partial aggregation and one
-of each goes on.  Anchors thus deal the text into small corpora that can be treated apart
+context of under 400 bytes.  Equal contexts are counted with a partial aggregation.  If an
+anchor has one kind of context, met more than once, all of its windows are repeated and the
+merge doesn't see it; with more kinds, one of each goes on.  Anchors thus deal the text into small corpora that can be treated apart
 without losing a match, and nothing unique is sorted.
 
 *Merge.*  A task takes whole anchors, about a megabyte at a time, and deals their contexts
