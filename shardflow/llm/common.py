@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Word pattern of the contracts: runs of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,32 +24,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where checkpoints go: a folder that all executors see."""
+    """Where steps are written: the checkpoint folder, which all executors see.
+
+    Only a local session without one (tests) gets a temporary folder.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there, so that a lost executor costs no rerun.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only a
-    session without it (tests) gets a temporary one.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each action inside as soon as the action ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when the driver's garbage is collected.
 
-    What one collection lets go of, the next one finds, and the deletion runs beside.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, so that a lost executor costs no rerun and no shuffle file outlives the step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4()}"
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Deletes what ``stored`` has written for these, which nothing may read any more."""
+    for df in steps:
+        deleted(df.sparkSession, _paths.pop(df))
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -9,22 +9,25 @@ in a million.  Candidates are compared by signature, then exactly on their full
 The work follows the groups, not their pairs:
 
 1. Documents with equal sets are one node, the smallest doc_id, found by a partial aggregation.
-2. Every member of a bucket is paired with the bucket's smallest node, then with its largest.
-   After each round the components of the confirmed links are found, and a pair inside one
-   is not made again, as it could change nothing.
-3. What is left are pairs in one bucket but in different components.  Buckets that still
-   hold several components are tied together to clusters (again by components), and in
-   each cluster the nodes outside its largest component are queries, in blocks: every
-   node of the cluster goes to each block once, with its signature, and is compared there
-   with all queries of other components.  Only pairs with like signatures leave the task:
-   first the best for each query and component, then, for what these don't join, all.
+2. A bucket's center is its smallest node.  Every node is compared with one center, that
+   of the most of its buckets, and the components of the links are found.
+3. In the buckets that still hold several components every node outside the bucket's
+   largest one asks.  Asking nodes whose buckets have their smallest center in common make
+   a block; each node of their buckets goes to the block once, and is compared there with
+   all that ask and are in other components.
+
+A task compares signatures, then full sets, and joins components as it goes: a pair inside
+one is passed over, as it could change nothing, and no pairs leave the task but the links
+that join two components, fewer than it has nodes.  Centers with many nodes and blocks
+with many on either side are dealt to several tasks.
 
 Links are confirmed on full sets: ``100 * intersection >= 75 * union``.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; fewer words than a shingle has are one shingle; rows of one doc_id are one
 document that has the links of all; rows with a null doc_id are kept and link with
-nothing; an empty table gives no rows; other columns of the input are ignored.
+nothing; an empty table gives no rows; other columns of the input are ignored; a text is never cut,
+and takes some 60 bytes of memory a byte of it while its set is made.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import Words, column, mixed, released, rows, slices, stored, texts, windows
+from shardflow.llm.common import Words, column, dropped, mixed, rows, slices, stored, texts, tidy, windows
 from shardflow.llm.components import components
 
 SHINGLE = 5
@@ -45,6 +48,8 @@ BANDS, ROWS = 52, 5
 LIKE = 75
 #: Pairs whose signatures agree less are dropped before the exact comparison: almost five standard deviations below 0.75.
 SIGNED = 0.62
+#: Most nodes (and shingles of them) that ask in one task, and about as many as answer.
+ASK, SHINGLES, ANSWER = 512, 1 << 20, 2048
 
 
 def shingle_sets(encoded: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -91,22 +96,26 @@ def signatures(values: np.ndarray, first: np.ndarray, n: int, at_once: int = 1 <
     return out
 
 
+def _keyed(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The shingles as from ``shingle_sets``, a key of each set and its signature (empty for an empty set)."""
+    values, first = shingle_sets([x.encode() for x in found])
+    keys, signed, full = np.zeros(len(found), np.uint64), [b""] * len(found), np.flatnonzero(np.diff(first))
+    if len(full):
+        with np.errstate(over="ignore"):
+            keys[full] = mixed(np.add.reduceat(mixed(values), first[full]))
+        for i, x in zip(full, signatures(values, np.append(first[full], first[-1]), BANDS * ROWS), strict=True):
+            signed[i] = x.tobytes()
+    return values, first, keys.view(np.int64), signed
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key of the set, signature."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            values, first = shingle_sets([x.encode() for x in texts(batch)])
-            counts = np.diff(first)
-            full = np.flatnonzero(counts)
-            keys, signed = np.zeros(len(counts), np.uint64), [b""] * len(counts)
-            if len(full):
-                with np.errstate(over="ignore"):
-                    keys[full] = mixed(np.add.reduceat(mixed(values), first[full]))
-                for i, x in zip(full, signatures(values, np.append(first[full], first[-1]), BANDS * ROWS), strict=True):
-                    signed[i] = x.tobytes()
-            yield rows(schema, batch.column(0), counts, keys.view(np.int64), signed)
+            _, first, keys, signed = _keyed(texts(batch))
+            yield rows(schema, batch.column(0), np.diff(first), keys, signed)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, signature binary")
 
@@ -130,100 +139,150 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, key, items (binary: the sorted shingles) of the rows of ``docs`` whose doc_id is one of ``ids``; ``key`` differs between the texts of one id."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
+    """id, signature, items (binary: the sorted shingles) of the rows of ``docs`` whose doc_id is one of ``ids``: a row for each different set of an id."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("signature", pa.binary()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            values, first = shingle_sets([x.encode() for x in texts(batch)])
-            with np.errstate(over="ignore"):
-                sums = np.append(np.uint64(0), np.cumsum(mixed(values), dtype=np.uint64))
-                keys = mixed(sums[first[1:]] - sums[first[:-1]])
-            yield rows(schema, batch.column(0), keys.view(np.int64), [values[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)])
-
-    return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, key long, items binary")
-
-
-def _alike(pairs: DataFrame, table: DataFrame, name: str, exact: bool) -> DataFrame:
-    """The pairs (a, b) of which some signatures, or else full sets, in the column ``name`` of ``table`` are alike; a pair may come more than once."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    signed = SIGNED * BANDS * ROWS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
-                left, right = column(part, "x"), column(part, "y")
-                if exact:
-                    good = []
-                    for x, y in zip(left, right, strict=True):
-                        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                        common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                        good.append(100 * common >= LIKE * (len(p) + len(q) - common))
-                else:
-                    p, q = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (left, right))
-                    good = (p == q).sum(axis=1) >= signed
-                kept = part.filter(pa.array(good, pa.bool_()))
-                yield rows(schema, kept.column(0), kept.column(1))
-
-    one = table.select(F.col("id").alias("a"), F.col(name).alias("x"))
-    two = table.select(F.col("id").alias("b"), F.col(name).alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _clusters(placed: DataFrame) -> DataFrame | None:
-    """cluster, id: the nodes of the buckets that hold several components (``of``), tied together bucket by bucket; None if there are none."""
-    apart = placed.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("id").alias("hub")).where("low != high").select("band", "hub")
-    ties = stored(placed.join(apart, "band").where("id != hub").select("id", "hub").distinct())
-    if ties.isEmpty():
-        return None
-    return stored(components(ties, "id", "hub").withColumnRenamed("component", "cluster"))
-
-
-def _like_pairs(clusters: DataFrame, found: DataFrame, classes: DataFrame, best: bool, block: int = 1024) -> DataFrame:
-    """a, b: pairs of nodes in different components of one cluster with like signatures; with ``best`` the likest for each node and component, of those met together."""
-    nodes = stored(clusters.join(found, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("of")))
-    sizes = nodes.groupBy("cluster", "of").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "of")).alias("most"), F.sum("n").alias("all"))
-    sizes = sizes.select("cluster", F.col("most.of").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("blocks"))
-    signed = nodes.join(sizes, "cluster").join(classes.select("id", "signature"), "id")
-    # A cluster that has become one component has no blocks.
-    queries = signed.where("of != main").select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("target"), "id", "of", "signature")
-    targets = signed.where("blocks > 0").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("target"), "id", "of", "signature")
+            values, first, keys, signed = _keyed(texts(batch))
+            yield rows(schema, batch.column(0), keys, signed, [values[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)])
+
+    held = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, key long, signature binary, items binary")
+    return held.where("length(items) > 0").groupBy("id", "key").agg(F.first("signature").alias("signature"), F.first("items").alias("items")).drop("key")
+
+
+class _Block:
+    """The nodes that ask, and the comparison with others: by signature, then on full sets, until all are in one component."""
+
+    def __init__(self):
+        self.ids, self.of, self.signed, self.items = [], [], [], []
+        self.moved: dict[int, int] = {}
+        self.made = False
+
+    def ask(self, ids: list[int], of: list[int], signed: list[bytes], items: list[bytes]) -> None:
+        for held, new in zip((self.ids, self.of, self.signed, self.items), (ids, of, signed, items), strict=True):
+            held.extend(new)
+
+    def _make(self) -> None:
+        self.minima = np.frombuffer(b"".join(self.signed), np.uint16).reshape(len(self.ids), -1)
+        self.roots = np.array([self._root(x) for x in self.of], np.int64)
+        self.sizes = np.array([len(x) // 8 for x in self.items], np.int64)
+        values = np.frombuffer(b"".join(self.items), np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)[order]
+        self.values, first = np.unique(values[order], return_index=True)
+        self.first = np.append(first, len(values))
+        self.made = True
+
+    def _root(self, x: int) -> int:
+        while x in self.moved:
+            x = self.moved[x]
+        return x
+
+    def _common(self, items: np.ndarray) -> np.ndarray:
+        """How many of ``items`` each asking set has, from the lists of its shingles' owners."""
+        at = np.searchsorted(self.values, items)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == items)]
+        lengths = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - (ends - lengths), lengths)
+        return np.bincount(self.owner[places], minlength=len(self.ids))
+
+    def links(self, ids: list[int], of: list[int], signed: list[bytes], items: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Links between asking nodes and these, each joining two components."""
+        if not self.made:
+            self._make()
+        minima = np.frombuffer(b"".join(signed), np.uint16).reshape(len(ids), -1)
+        sizes = np.array([len(x) // 8 for x in items], np.int64)
+        short = np.minimum(self.sizes[:, None], sizes) * 100 >= np.maximum(self.sizes[:, None], sizes) * LIKE
+        if len(self.ids) <= len(ids):
+            same = np.stack([np.count_nonzero(minima == row, axis=1) for row in self.minima])
+        else:
+            same = np.stack([np.count_nonzero(self.minima == row, axis=1) for row in minima], axis=1)
+        good = short & (same >= int(np.ceil(SIGNED * BANDS * ROWS)))
+        for j in np.flatnonzero(good.any(axis=0)):
+            root = self._root(of[j])
+            at = np.flatnonzero(good[:, j] & (self.roots != root))
+            if not len(at):
+                continue
+            common = self._common(np.frombuffer(items[j], np.uint64))[at]
+            for i in at[100 * common >= LIKE * (self.sizes[at] + sizes[j] - common)]:
+                if self.roots[i] != root:
+                    yield self.ids[i], ids[j]
+                    old = self.roots[i]
+                    self.moved[int(old)] = root
+                    self.roots[self.roots == old] = root
+
+
+def _compared(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links of the asking nodes of each task with its other nodes, enough to join what they join.
+
+    ``dealt`` has center, block, part (a task's nodes together), answers (false: asks), id
+    and of, the component known.  The nodes that answer stream by those that ask.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    least = int(np.ceil(SIGNED * BANDS * ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked = None, ([], [], [])
-        for batch in batches:
-            held = [column(batch, x) for x in ("cluster", "block", "target", "id", "of", "signature")]
-            keys = list(zip(held[0], held[1], held[2], strict=True))
-            begin = 0
+        at, block = None, None
+        for batch in slices(batches, "items", 4 << 20):
+            keys = list(zip(*(column(batch, x) for x in ("center", "block", "part", "answers")), strict=True))
+            held = [column(batch, x) for x in ("id", "of", "signature", "items")]
+            begin, found = 0, []
             while begin < len(keys):
                 end = begin + 1
                 while end < len(keys) and keys[end] == keys[begin] and end - begin < 256:
                     end += 1
-                ids, of, signed = (x[begin:end] for x in held[3:])
-                if keys[begin][:2] != at:
-                    at, asked = keys[begin][:2], ([], [], [])
-                if not keys[begin][2]:
-                    for x, y in zip(asked, (ids, of, signed), strict=True):
-                        x.extend(y)
-                elif asked[0]:
-                    p, q = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), -1) for x in (asked[2], signed))
-                    ours, theirs, own, other = (np.array(x) for x in (asked[0], ids, asked[1], of))
-                    same = np.stack([(q == row).sum(axis=1) for row in p])
-                    i, j = np.nonzero((same >= least) & (own[:, None] != other[None, :]))
-                    if best and len(i):
-                        order = np.lexsort((-same[i, j], other[j], i))
-                        i, j = i[order], j[order]
-                        first = np.ones(len(i), bool)
-                        first[1:] = (i[1:] != i[:-1]) | (other[j[1:]] != other[j[:-1]])
-                        i, j = i[first], j[first]
-                    yield rows(schema, np.minimum(ours[i], theirs[j]), np.maximum(ours[i], theirs[j]))
+                if keys[begin][:3] != at:
+                    at, block = keys[begin][:3], _Block()
+                part = [x[begin:end] for x in held]
+                if not keys[begin][3]:
+                    block.ask(*part)
+                elif block.ids:
+                    found += block.links(*part)
                 begin = end
+            if found:
+                yield rows(schema, *zip(*found, strict=True))
+
+    together = dealt.join(sets, "id").repartition("center", "block", "part").sortWithinPartitions("center", "block", "part", "answers", "id")
+    return together.mapInArrow(run, "a long, b long")
+
+
+def _with_centers(tried: DataFrame) -> DataFrame:
+    """What ``_compared`` takes: every node with its center of ``tried``; a center asks, and many nodes with one center are dealt to parts."""
+    parts = tried.groupBy("center").agg(F.ceil(F.count("*") / ANSWER).cast("int").alias("parts"))
+    answers = tried.join(parts, "center").select("center", F.lit(0).alias("block"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("answers"), "id", F.col("id").alias("of"))
+    asks = parts.select("center", F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("answers"), F.col("center").alias("id"), F.col("center").alias("of"))
+    return answers.unionByName(asks)
+
+
+def _open(members: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
+    """band, id, center, of (its component), asks: the nodes of the buckets with links still to look for.
+
+    Those are the buckets with several components, but for a bucket of two that have been
+    compared.  All of a bucket's nodes ask but those of its largest component.
+    """
+    placed = members.join(found, "id", "left").join(tried.withColumnRenamed("center", "best"), "id", "left")
+    placed = placed.select("band", "id", "center", F.coalesce("component", "id").alias("of"), (F.col("id").eqNullSafe(F.col("center")) | F.col("best").eqNullSafe(F.col("center"))).alias("tried"))
+    kinds = placed.groupBy("band", "of").agg(F.count("*").alias("n"), F.bool_and("tried").alias("tried"))
+    kinds = kinds.groupBy("band").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.bool_and("tried").alias("tried"))
+    return placed.join(kinds.where("kinds > 1 AND NOT (n = 2 AND tried)").select("band", "main"), "band").select("band", "id", "center", "of", (F.col("of") != F.col("main")).alias("asks"))
+
+
+def _with_buckets(open_: DataFrame, sizes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``_compared`` takes, and the stored steps it reads: blocks of asking nodes that have the smallest center in common, and the nodes of all buckets of these.
 
-    dealt = queries.unionByName(targets).repartition("cluster", "block").sortWithinPartitions("cluster", "block", "target")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    A node goes to a block once, however many buckets they share.  Both sides of a block are
+    dealt to parts, so that each task has a bounded share, also of long texts.
+    """
+    asking = open_.where("asks").groupBy("id").agg(F.min("center").alias("center"), F.min("of").alias("of")).join(sizes, "id")
+    blocks = asking.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / ASK, F.sum("n_shingles") / SHINGLES)).cast("int").alias("blocks"))
+    asking = stored(asking.join(blocks, "center").select("center", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "of"))
+    meets = open_.where("asks").select("band", "id").join(asking.select("id", F.col("center").alias("_center"), "block"), "id").select("_center", "block", "band").distinct()
+    answers = stored(open_.select("band", "id", "of").join(meets, "band").select(F.col("_center").alias("center"), "block", "id", "of").distinct())
+    parts = answers.groupBy("center", "block").agg(F.ceil(F.count("*") / ANSWER).cast("int").alias("parts"))
+    one = answers.join(parts, ["center", "block"]).select("center", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("answers"), "id", "of")
+    two = asking.join(parts, ["center", "block"]).select("center", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("answers"), "id", "of")
+    return one.unionByName(two), [asking, answers]
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -234,43 +293,26 @@ def link(docs: DataFrame) -> DataFrame:
     bands = _banded(classes)
     buckets = bands.groupBy("band").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(bands.join(buckets, "band"))
-    released(docs.sparkSession)
-    sets = stored(_sets(docs, members.select("id").distinct()).groupBy("id", "key").agg(F.first("items").alias("items")).select("id", "items"))
-
-    released(docs.sparkSession)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(_alike(_alike(pairs, classes, "signature", False).distinct(), sets, "items", True))
-
-    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
-        if links.isEmpty():
-            return found
-        return stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b"))
-
-    def placed(found: DataFrame) -> DataFrame:
-        return members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("of"))
-
-    low = members.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    found = stored(components(confirmed(low), "a", "b"))
-    ends = members.groupBy("band").agg(F.max("id").alias("last"))
-    high = members.join(ends, "band").where("id != last").select(F.col("id").alias("a"), F.col("last").alias("b")).distinct()
-    owned = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-    apart = high.join(owned("a"), "a", "left").join(owned("b"), "b", "left").where("coalesce(of_a, a) != coalesce(of_b, b)")
-    found = joined(found, confirmed(apart.select("a", "b")))
-    released(docs.sparkSession)
-    clusters = _clusters(placed(found))
-    for best in (True, False) if clusters is not None else ():
-        pairs = stored(_like_pairs(clusters, found, classes, best))
-        found = joined(found, stored(_alike(pairs, sets, "items", True)))
-        released(docs.sparkSession)
+    sets = stored(_sets(docs, members.select("id").distinct()))
+    counted = members.where("id != center").repartition("id").groupBy("id", "center").agg(F.count("*").alias("n"))
+    tried = stored(counted.groupBy("id").agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("center")))
+    found = components(_compared(_with_centers(tried), sets), "a", "b")
+    open_ = stored(_open(members, tried, found))
+    sizes = classes.groupBy("id").agg(F.sum("n_shingles").alias("n_shingles"))
+    dealt, steps = _with_buckets(open_, sizes)
+    links = stored(_compared(dealt, sets))
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
+    dropped(members, sets, tried, open_, links, *steps)
     # A doc_id with several rows joins their classes.
-    named = signed.join(classes.select("key", "n_shingles", "id"), ["key", "n_shingles"], "left").join(found, "id", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
+    named = signed.select("doc_id", "n_shingles", "key").join(classes.select("key", "n_shingles", "id"), ["key", "n_shingles"], "left").join(found, "id", "left")
+    named = stored(named.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id")))
+    dropped(signed, classes)
     again = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low != high")
-    if not again.isEmpty():
+    with tidy(docs.sparkSession):
+        several = not again.isEmpty()
+    if several:
         merged = components(named.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "a", "b")
         named = named.join(merged.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
-    released(docs.sparkSession)
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -8,10 +8,11 @@ from itertools import pairwise
 
 import numpy as np
 
-from shardflow.llm import perplexity, secrets, suffix_dedup
+from shardflow.llm import near_dedup, perplexity, secrets, suffix_dedup
 from shardflow.llm.components import components
 from shardflow.llm.near_dedup import BANDS, ROWS, SIGNED, link, shingle_sets, signatures
 from shardflow.llm.quality import fit_pairs
+from tests.llm import cases
 
 
 def test_components_of_random_graphs(spark):
@@ -65,6 +66,49 @@ def test_every_text_of_a_doc_id_has_its_links(spark):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(9, 9), (20, 9), (30, 9), (40, 9), (50, 50)}
 
 
+def _family(draw, size, words=150, apart=11):
+    """Copies of one text that share buckets but aren't links (likeness of about 0.62 to 0.75), and every tenth a link of the one before."""
+    base, out = [f"w{draw.randrange(10**6)}" for _ in range(words)], []
+    for i in range(size):
+        text = list(base)
+        for at in draw.sample(range(words), apart // 2):
+            text[at] = f"x{draw.randrange(10**9)}"
+        if i % 10 == 9:
+            text = [*out[-1].split()[:-1], "end"]
+        out.append(" ".join(text))
+    return out
+
+
+def test_rows_that_leave_the_comparison_grow_with_the_family(spark, monkeypatch):
+    made, compared = [], near_dedup._compared
+
+    def counted(dealt, sets):
+        out = near_dedup.stored(compared(dealt, sets))
+        made.append((dealt.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_compared", counted)
+    rows = {}
+    for size in (200, 800):
+        made.clear()
+        draw = random.Random(size)
+        texts = _family(draw, size)
+        found = {r.doc_id: r.component_id for r in link(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        wanted, _ = cases.near_components(list(enumerate(texts)))
+        assert found == wanted
+        rows[size] = [sum(x) for x in zip(*made, strict=True)]
+    assert rows[800][0] < 6 * rows[200][0] and rows[800][1] <= 800 and rows[200][1] <= 200, rows
+
+
+def test_parts_and_blocks_of_a_group_lose_no_link(spark, monkeypatch):
+    for name, value in (("ASK", 3), ("SHINGLES", 500), ("ANSWER", 4)):
+        monkeypatch.setattr(near_dedup, name, value)
+    draw = random.Random(1)
+    pairs = list(enumerate([*_family(draw, 40), *_family(draw, 30, apart=4), *_family(draw, 30, words=40)]))
+    found = {r.doc_id: r.component_id for r in link(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert found == cases.near_components(pairs)[0] and 30 < len(set(found.values())) < 90
+
+
 def test_kneser_ney_as_defined():
     """Against a plain interpolated model with three discounts."""
     n, texts = perplexity.ORDER, ["abracadabra", "abrakadabra", "cadabra abra", "banana bandana", "the cat and the hat"]
