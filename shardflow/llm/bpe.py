@@ -10,7 +10,8 @@ Equal ranks go from left to right, as a bucket is a heap of positions.  Time gro
 n log n at most, so that one pre-token of a megabyte does no harm.
 
 Texts are first cut at single spaces between two non-space characters: no match of the
-pattern spans such a cut, so the parts can be encoded alone and kept in a bounded cache.
+pattern spans such a cut, so the parts can be encoded alone and kept in a cache
+of at most 32 MB a worker.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; repeated rows get
 equal results; other columns of the input are ignored.
@@ -28,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shardflow.llm.common import column, rows, slices, texts
+from shardflow.llm.common import Cache, column, rows, slices, texts
 
 #: A single space between two characters that aren't white space, as the patterns' \s has it.
-_WHITE = r"\t-\r\x20\x85\xa0  -     　"
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = regex.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 _EDGE = regex.compile(rf"^[{_WHITE}]|[{_WHITE}]$|^$")
 
@@ -41,14 +42,13 @@ _BIT = [1 << i for i in range(1024)]
 
 
 class Codec:
-    """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately."""
+    """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately; ``keep``: bytes of cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 600_000):
-        self.ranks, self.pattern, self.keep = ranks, regex.compile(pattern), keep
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 32 << 20):
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         if max(ranks.values(), default=0) >> 8 >= len(_BIT):
             raise ValueError("more ranks than the bitmap has")
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.parts, self.pieces = Cache(keep // 4 * 3), Cache(keep // 4)
         self.leaf = [0] * (max(ranks.values(), default=0) // 256 + 1)  # all zero between calls
         size = max(ranks.values(), default=-1) + 1
         by_id = [b""] * size
@@ -134,19 +134,11 @@ class Codec:
             i = ends[i]
         return ids
 
-    def _keep(self, known: dict[str, bytes], key: str, coded: bytes) -> bytes:
-        if len(key) <= 100:
-            if len(known) >= self.keep:
-                for old in list(known)[: self.keep // 2]:
-                    del known[old]
-            known[key] = coded
-        return coded
-
     def _pieces(self, part: str) -> bytes:
         """The ids of a part, piece by piece."""
         known, out = self.pieces, []
         for piece in self.pattern.findall(part):
-            out.append(known.get(piece) or self._keep(known, piece, np.array(self.merged(piece.encode()), "<u4").tobytes()))
+            out.append(known.get(piece) or known.keep(piece, np.array(self.merged(piece.encode()), "<u4").tobytes()))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
@@ -162,7 +154,7 @@ class Codec:
                 out = list(map(self.parts.get, cut))
             for i, x in enumerate(out):
                 if x is None:
-                    out[i] = self.parts.get(cut[i]) or self._keep(self.parts, cut[i], self._pieces(" " + cut[i]))
+                    out[i] = self.parts.get(cut[i]) or self.parts.keep(cut[i], self._pieces(" " + cut[i]))
         return b"".join([self._pieces(first), *out])
 
     def decode(self, coded: bytes) -> bytes:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from itertools import islice
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
             begin = end
 
 
+class Cache(dict):
+    """A dict that holds about ``most`` bytes beside what it begins with: the older half goes when it is full, and keys of over 100 characters don't enter."""
+
+    def __init__(self, most: int, fixed: Iterable = ()):
+        super().__init__(fixed)
+        self.most, self.held, self.fixed = most, 0, len(self)
+
+    def keep(self, key: str, value):
+        """``value``, kept if there is room for such keys."""
+        if len(key) <= 100:
+            if self.held >= self.most:
+                for old in list(islice(self, self.fixed, self.fixed + (len(self) - self.fixed + 1) // 2)):
+                    self.held -= self._size(old, self.pop(old))
+            if key not in self:
+                self.held += self._size(key, value)
+            self[key] = value
+        return value
+
+    @staticmethod
+    def _size(key: str, value) -> int:
+        return getsizeof(key) + getsizeof(value) + 100  # the last is about an entry's share of the table
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

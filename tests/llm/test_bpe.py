@@ -32,10 +32,12 @@ def test_as_the_library(both):
 
 
 def test_bounded_cache(both):
-    codec = Codec(both[0].ranks, public_tokenizers.PATTERN, keep=10)
-    for i in range(100):
-        codec.encode(f"word{i} w")
-    assert len(codec.parts) <= 11
+    codec = Codec(both[0].ranks, public_tokenizers.PATTERN, keep=40_000)
+    for i in range(5000):
+        assert ids(codec, f"word{i} w{i % 700}") == both[1].encode_ordinary(f"word{i} w{i % 700}")
+        for cache in (codec.parts, codec.pieces):
+            assert sum(cache._size(*x) for x in cache.items()) == cache.held <= cache.most + 400
+    assert len(codec.parts) > 20
 
 
 def test_queue_is_empty_after_use(both):
