@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shardflow.llm.common import rows, slices, texts
+from shardflow.llm.common import Cache, rows, slices, texts
 
 MARK = "▁"
 
@@ -35,7 +35,7 @@ MARK = "▁"
 class Counter:
     """Counts tokens as the library does for the vocabulary at ``path``."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 48 << 20):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -46,12 +46,11 @@ class Counter:
             raise ValueError("the counter needs merges by score, byte fallback and unchanged text")
         self.prefix = MARK if norm.add_dummy_prefix else ""
         self.scores = {x.piece: x.score for x in model.pieces if x.type == x.NORMAL}
-        self.keep = keep
         separable = not any(MARK in x.lstrip(MARK) for x in self.scores)
         inside = {c for x in self.scores if len(x) > 1 for c in x}
         #: Whole tokens, proved by merging each vocabulary string.
         self.whole = frozenset(x for x in self.scores if self.merged(x) == 1)
-        self.known = dict.fromkeys(self.whole, 1)
+        self.known = Cache(keep, dict.fromkeys(self.whole, 1))
         own = "".join(sorted(regex.escape(c, special_only=True) for c in inside - {MARK}))
         self.parts = regex.compile(rf"{MARK}+[{own}]*|[{own}]+|[^{own}{MARK}]") if separable else regex.compile(r"(?s).+")
         self.lone = separable
@@ -89,18 +88,11 @@ class Counter:
             n = known.get(part)
             if n is None:
                 n = self.merged(part)
-                self._learn(part, n)
+                known.keep(part, n)
             count += n
-        self._learn(chunk, count)
+        known.keep(chunk, count)
         return count
 
-    def _learn(self, part: str, count: int) -> None:
-        if len(part) <= 100:
-            if len(self.known) >= self.keep + len(self.whole):
-                for old in list(self.known)[len(self.whole) : len(self.whole) + self.keep // 2]:
-                    del self.known[old]
-            self.known[part] = count
-
     def count(self, text: str) -> int:
         if not text:
             return 0
