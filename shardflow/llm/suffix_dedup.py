@@ -5,10 +5,9 @@ Every byte covered by a string of ``length`` bytes that also starts somewhere el
 *What may repeat.*  Each window of ``length`` bytes has an anchor, its 32-byte string with the smallest
 hash.  Equal windows have equal anchors at equal places, so a window whose anchor stands
 nowhere else can't repeat.  Windows with one anchor are consecutive; together they are a
-context of under 400 bytes.  Equal contexts are counted with a partial aggregation.  If an
-anchor has one kind of context, met more than once, all of its windows are repeated and the
-merge doesn't see it; with more kinds, one of each goes on.  Anchors thus deal the text into small corpora that can be treated apart
-without losing a match, and nothing unique is sorted.
+context of under 400 bytes.  Equal contexts are counted with a partial aggregation, and one
+of each goes on with its count.  Anchors thus deal the text into small corpora that can be
+treated apart without losing a match, and nothing unique is sorted.
 
 *Merge.*  A task takes whole anchors, about a megabyte at a time, and deals their contexts
 to shards.  Each shard has its own Burrows-Wheeler transform over blocks: the 25 bytes before each
@@ -27,8 +26,9 @@ the window; this is exact too and has no group that must fit in a task.
 Strings are compared by 64-bit hashes of blocks of 25 bytes, whole contexts by one hash.
 
 Defined cases: a null or empty text has nothing to remove; rows equal in doc_id and text
-repeat each other like any two rows; an empty table gives no rows; other columns of the
-input are ignored.
+repeat each other like any two rows; a text of any length is taken whole, its anchors in
+pieces of 4 MiB that overlap; an empty table gives no rows; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import Hasher, column, rows, slices, stored, texts
+from shardflow.llm.common import Hasher, column, dropped, rows, slices, stored, texts, tidy
 
 ANCHOR = 32
 STEP = 25
-_PLACE = 26  # bits of a place in a slice
+_PLACE = 22  # bits of a place in a piece of text
 
 
 def anchors_of(encoded: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -269,13 +269,14 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 4096) -> DataFrame:
     classes = classes.select("anchor", "context", "n", "one.*")
     spread = classes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1").drop("times")
     classes = stored(classes.join(spread, "anchor"))
-    alone = classes.where("kinds = 1").select("anchor", "context", F.array(F.lit(0), F.col("size")).alias("runs"))
-    merged = _merged(classes.where(f"kinds > 1 AND kinds <= {most}"), keyed, length)
-    found = alone.unionByName(merged)
+    found = _merged(classes.where(f"kinds <= {most}"), keyed, length)
     hot = classes.where(f"kinds > {most}")
-    if not hot.isEmpty():
+    with tidy(docs.sparkSession):
+        some_hot = not hot.isEmpty()
+    if some_hot:
         found = found.unionByName(_counted(hot, keyed, length))
     found = stored(found.where("size(runs) > 0"))
+    dropped(classes)
     covered = every.select("did", "rid", "begin", "anchor", "context").join(found, ["anchor", "context"]).select("did", "rid", F.explode(F.expr(f"transform(sequence(0, size(runs) DIV 2 - 1), i -> named_struct('b', begin + runs[2 * i], 'e', begin + runs[2 * i + 1] + {length - 1}))")).alias("x"))
     ranges = covered.groupBy("did", "rid").agg(F.collect_set("x").alias("ranges"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int32()))])
