@@ -11,10 +11,11 @@ n log n at most, so that one pre-token of a megabyte does no harm.
 
 Texts are first cut at single spaces between two non-space characters: no match of the
 pattern spans such a cut, so the parts can be encoded alone and kept in a cache
-of at most 32 MB a worker.
+of at most 96 MB a worker.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; repeated rows get
-equal results; other columns of the input are ignored.
+equal results; a text of any length is encoded whole; an empty table gives no rows; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ _BIT = [1 << i for i in range(1024)]
 class Codec:
     """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately; ``keep``: bytes of cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 32 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 96 << 20):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         if max(ranks.values(), default=0) >> 8 >= len(_BIT):
             raise ValueError("more ranks than the bitmap has")
