@@ -14,7 +14,9 @@ up, and each bucket is sorted alone.  A source with most of the rows is thus spr
 
 Defined cases: a null text has 0 words; a null source is a source of its own, the last; a
 source without words gets target 0; rows with equal doc_id have one key and lie side by
-side; an empty table gives no rows; other columns of the input are ignored.
+side; an empty table gives no rows; a text of any length is counted whole by the JVM; other
+columns of the input are ignored by ``mix``, and in ``mixed`` rows that differ in any column
+are different rows.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     aims = targets(sums.groupBy("_src").agg(F.sum("_words").alias("_total")), weights, share, most)
     before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = sums.withColumn("_start", F.coalesce(F.sum("_words").over(before), F.lit(0))).join(aims, "_src").drop("_words")
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_src", "_bucket").orderBy("_key", "doc_id", "size", *[c for c in docs.columns if c == "_rid"]).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["_src", "_bucket"])
     budget = F.least(F.floor(F.col("_target") + 0.5), F.floor(F.col("_total") * F.lit(float(most)))).cast("long")
     placed = placed.withColumn("_budget", budget).withColumn("_epochs", F.when(F.col("_total") > 0, F.expr("_budget div greatest(_total, 1)")).otherwise(F.lit(0)))
@@ -74,7 +76,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Options as in ``mix``.  ``n_chars``, if there, follows a cut text.
     """
-    rid = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), F.coalesce("text", F.lit(""))))
+    rid = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("")) for c in docs.columns)))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), rid.alias("_rid"))
     # Equal rows are one row that is taken as often as they are together.
     taken = mix(docs.select("doc_id", "source", "text", rid.alias("_rid")), **options).where("taken > 0").groupBy("_rid").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
