@@ -13,9 +13,10 @@ The fit uses at most ``sample`` labelled rows, those with the smallest hash of d
 and at most ``pairs`` pairs.  Scoring takes every whole text in one pass.
 
 Defined cases: a null text is an empty one, and an empty text gets the score of
-its features; labels of a doc_id that appears more than once count once (the smallest);
-without labels of both kinds every score is 0.5; an empty table gives no rows; other
-columns of the input are ignored.
+its features; labels of a doc_id that appears more than once count once (the smallest), and
+of its texts the smallest is learnt from; equal texts have equal scores; without labels of
+both kinds every score is 0.5; a text of any length is taken whole, at some 50 bytes of
+memory a byte of it; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.common import Words, rows, slices, texts, windows
+from shardflow.llm.common import Words, rows, slices, texts, tidy, windows
 
 
 def _kinds() -> np.ndarray:
@@ -148,8 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) ->
             yield rows(schema, batch.column(0), batch.column(1), list(features([x.encode() for x in texts(batch)])))
 
     # The side that is sent everywhere has ``sample`` rows of two numbers at most.
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "quality", "text")
-    got = joined.mapInArrow(run, "doc_id long, quality int, features array<double>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    # One row for each label: of several texts of a doc_id the smallest.
+    joined = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    with tidy(docs.sparkSession):
+        got = joined.mapInArrow(run, "doc_id long, quality int, features array<double>").toPandas().sort_values("doc_id")
     width = features([b""]).shape[1]
     return fit_pairs(np.array(got["features"].tolist(), float).reshape(-1, width), got["quality"].to_numpy(), **options)
 
