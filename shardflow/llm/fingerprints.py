@@ -15,8 +15,8 @@ doc_id: they decide only how even the ranges are.
 
 Defined cases: a null text counts as empty; texts of fewer than three bytes have no
 triplets and differ by length only; rows of one doc_id follow one another by text; null
-doc_ids come last; the next of a single row is itself; an empty table gives no rows; other
-columns of the input are ignored.
+doc_ids come last; the next of a single row is itself; a text of any length is taken whole, at some 50 bytes of
+memory a byte of it; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

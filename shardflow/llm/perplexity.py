@@ -21,8 +21,10 @@ texts has some room.  Texts outside are rejected.  ``width`` is the smallest, in
 loses under 1 % of the labelled clean training rows.
 
 Defined cases: a null or empty text has no words, no perplexity (null) and fails the base
-rules; a null language is one of its own; repeated rows get equal results; an empty
-table gives no rows; other columns of the input are ignored.
+rules; a null language is one of its own; rows equal in text and language get
+equal results; a perplexity on a bound is kept; a text of any length is taken whole, at some
+200 bytes of memory a character; an empty table gives no rows; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ Base rules are ``assign``, ``access`` and ``hex``; the others add spans.  A priv
 goes from its header to its end line, or without one over the lines of base64 that follow.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end
-exclusive; spans of different kinds may overlap; repeated rows get equal results; other
-columns of the input are ignored.
+exclusive; spans of different kinds may overlap; repeated rows get equal results; a text of any length is scanned whole; an empty table gives
+no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ numbered alone, and the counts of the buckets before it are added, so that no ta
 a whole shard.
 
 Defined cases: a null doc_id is the key ``''``; a null text counts as empty; rows of one
-doc_id go to one shard and get slots of their own; an empty table gives no rows; other
-columns of the input are ignored.
+doc_id go to one shard and get slots of their own; an empty table gives no rows; a text of
+any length is one row; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Only parts that aren't whole tokens are merged, and their counts are kept in a b
 cache.
 
 Defined cases: a null or empty text has 0 tokens; special strings inside texts are
-ordinary text; repeated rows get equal counts; other columns of the input are ignored.
+ordinary text; repeated rows get equal counts; a text of any length is counted whole, and what no space
+divides is merged in n log n; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
