@@ -73,9 +73,11 @@ def features(encoded: list[bytes]) -> np.ndarray:
     with np.errstate(over="ignore"):
         salt = (words.doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for width in (1, 3):
-        grams = windows(hashes, width) ^ salt[: max(0, len(hashes) - width + 1)]
-        _, first = np.unique(grams, return_index=True)
-        distinct = np.bincount(words.doc[first], minlength=n) if len(first) else many
+        grams = windows(hashes, width)
+        doc = words.doc[: len(grams)]
+        inside = np.arange(len(grams)) + width <= words.first[1:][doc]
+        _, first = np.unique((grams ^ salt[: len(grams)])[inside], return_index=True)
+        distinct = np.bincount(doc[inside][first], minlength=n)
         out.append(distinct / counts)
     with np.errstate(over="ignore"):
         lines_of = np.searchsorted(words.begin, line_starts), np.searchsorted(words.begin, line_starts + line_sizes)
