@@ -49,7 +49,7 @@ LIKE = 75
 #: Pairs whose signatures agree less are dropped before the exact comparison: almost five standard deviations below 0.75.
 SIGNED = 0.62
 #: Most nodes (and shingles of them) that ask in one task, and about as many as answer.
-ASK, SHINGLES, ANSWER = 512, 1 << 20, 2048
+ASK, SHINGLES, ANSWER = 512, 1 << 20, 512
 
 
 def shingle_sets(encoded: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
