@@ -101,3 +101,26 @@ def test_stages_take_an_empty_table(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "secrets", "mixing", "bpe"]
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage."""
+    spark.createDataFrame([(i, i % 2) for i in range(24)] + [(None, 1), (3, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = cases.documents(spark)
+    given = Counter(docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        path = str(tmp_path / name)
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if name != "bpe":
+            assert docs.columns == before.columns
+        if name == "near_dedup":
+            ids = [r.doc_id for r in docs.select("doc_id").collect() if r.doc_id is not None]
+            assert len(ids) == len(set(ids))
+        if name in ("quality", "near_dedup"):
+            assert Counter(docs.collect()) <= given
+        if name == "secrets":
+            assert docs.count() == before.count()
+            assert {r.text is None for r in docs.collect()} == {r.text is None for r in before.collect()}
+    assert docs.where("n_tokens != size(ids)").isEmpty()
