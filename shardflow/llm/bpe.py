@@ -11,7 +11,7 @@ n log n at most, so that one pre-token of a megabyte does no harm.
 
 Texts are first cut at single spaces between two non-space characters: no match of the
 pattern spans such a cut, so the parts can be encoded alone and kept in a cache
-of at most 96 MB a worker.
+of at most 128 MB a worker.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; repeated rows get
 equal results; a text of any length is encoded whole; an empty table gives no rows; other
@@ -24,6 +24,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ _BIT = [1 << i for i in range(1024)]
 class Codec:
     """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately; ``keep``: bytes of cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 96 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 128 << 20):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         if max(ranks.values(), default=0) >> 8 >= len(_BIT):
             raise ValueError("more ranks than the bitmap has")
@@ -136,10 +137,11 @@ class Codec:
         return ids
 
     def _pieces(self, part: str) -> bytes:
-        """The ids of a part, piece by piece."""
-        known, out = self.pieces, []
+        """The ids of a part, piece by piece.  A piece that begins with a space is a part by itself, and kept as one."""
+        out = []
         for piece in self.pattern.findall(part):
-            out.append(known.get(piece) or known.keep(piece, np.array(self.merged(piece.encode()), "<u4").tobytes()))
+            known, key = (self.parts, piece[1:]) if piece[0] == " " and not piece.isspace() else (self.pieces, piece)
+            out.append(known.get(key) or known.keep(key, pack(f"<{len(ids := self.merged(piece.encode()))}I", *ids)))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:

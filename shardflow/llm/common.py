@@ -108,7 +108,7 @@ class Cache(dict):
 
     @staticmethod
     def _size(key: str, value) -> int:
-        return getsizeof(key) + getsizeof(value) + 100  # the last is about an entry's share of the table
+        return getsizeof(key) + getsizeof(value) + 60  # the last is about an entry's share of the table
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
