@@ -121,20 +121,19 @@ WITH RECURSIVE steps AS (
   SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
 crc_table AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE n = 8),
 keyed AS (
-  SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(COALESCE(text, ''))) AS h,
-         CAST('0x' || substr(md5('slot:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 7) AS BIGINT) % {buckets} AS bucket
-  FROM documents),
+  SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(COALESCE(text, ''))) AS h FROM documents),
 {_tree_sql("now", tree)},
 {_tree_sql("grown", tree.grown())},
 sized AS (
-  SELECT doc_id, k, bucket, CAST(len(h) // 2 + 8 AS BIGINT) AS size,
+  SELECT doc_id, k, CAST(len(h) // 2 + 8 AS BIGINT) AS size,
          xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
                          lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
-  FROM keyed, crc_table)
+  FROM keyed, crc_table),
+dealt AS (SELECT *, CAST('0x' || substr(md5('slot:' || k || ':' || CAST(text_crc32 AS VARCHAR)), 1, 7) AS BIGINT) % {buckets} AS bucket FROM sized)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(n.value AS INTEGER) AS shard,
        row_number() OVER (PARTITION BY n.value ORDER BY bucket, k, size, text_crc32) - 1 AS slot,
        CAST(g.value AS INTEGER) AS grown_shard
-FROM sized JOIN now_3 n USING (k) JOIN grown_3 g USING (k)
+FROM dealt JOIN now_3 n USING (k) JOIN grown_3 g USING (k)
 """
 
 

@@ -97,10 +97,12 @@ def _slots(df: DataFrame, counted: DataFrame, shard: str, order: list[Column], o
 def shard_documents(docs: DataFrame, tree: Tree, buckets: int = 512) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), "_key")), 1, 7), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
+    keyed = docs.select("doc_id", text.alias("_text"), F.crc32(text).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
+    # The text too, so that many rows of one doc_id, or of none, are no single bucket.
+    drawn = F.md5(F.concat(F.lit("slot:"), "_key", F.lit(":"), F.col("text_crc32").cast("string")))
+    keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring(drawn, 1, 7), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
     shards = placed(keyed.select("_key", "_bucket"), tree, "_key", "shard")
-    sized = keyed.select("doc_id", "_key", "_bucket", (F.octet_length("_text") + 8).cast("long").alias("size"), F.crc32("_text").alias("text_crc32"), F.lit("key").alias("law"))
+    sized = keyed.select("doc_id", "_key", "_bucket", (F.octet_length("_text") + 8).cast("long").alias("size"), "text_crc32", F.lit("key").alias("law"))
     whole = placed(placed(sized, tree, "_key", "shard"), tree.grown(), "_key", "grown_shard")
     slotted = _slots(whole, shards, "shard", [F.col("_key"), F.col("size"), F.col("text_crc32")], "slot")
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
