@@ -11,10 +11,11 @@ differ by about ``BOUND``.
 taken from the next document in descending order of doc_id.  The rows are dealt to
 ranges of doc_id; each range also gets the first row of the range after it, so that no
 task sees more than its own range and one row.  Bounds are approximate quantiles of
-doc_id: they decide only how even the ranges are.
+doc_id: they decide only how even the ranges are.  Rows of one doc_id follow one another by
+hash of the text, so that many rows of one, or without any, are dealt to several ranges too.
 
 Defined cases: a null text counts as empty; texts of fewer than three bytes have no
-triplets and differ by length only; rows of one doc_id follow one another by text; null
+triplets and differ by length only; rows of one doc_id follow one another by hash of the text; null
 doc_ids come last; the next of a single row is itself; a text of any length is taken whole, at some 50 bytes of
 memory a byte of it; an empty table gives no rows; other columns of the input are ignored.
 """
@@ -91,27 +92,32 @@ _LAST = -(1 << 63)
 
 
 def _ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """_range, _guest, _at, doc_id, text: the rows by range, and the row after each range's last as its guest."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_at"))
+    """_range, _guest, _at, _h, doc_id, text: the rows by range, and the row after each range's last as its guest."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_at"), F.xxhash64(text).alias("_h"))
     found = docs.select(F.percentile_approx("_at", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
-    bounds = np.unique(np.array(found or [], np.int64))
+    # A doc_id with so many rows that it is several quantiles has as many ranges of its own, by hash of the text.
+    bounds, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    before = 1 + np.cumsum(times[::-1])[::-1] - times
 
     @F.pandas_udf("int")
-    def range_of(at: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, at.to_numpy(), "left"), dtype="int32")
-
-    dealt = docs.withColumn("_range", range_of("_at"))
+    def range_of(at: pd.Series, h: pd.Series) -> pd.Series:
+        if not len(bounds):
+            return pd.Series(np.zeros(len(at), np.int32))
+        i = np.searchsorted(bounds, at.to_numpy(), "left")
+        above, i = i == len(bounds), np.minimum(i, len(bounds) - 1)
+        part = np.minimum(((h.to_numpy() / 2.0**64 + 0.5) * times[i]).astype(np.int64), times[i] - 1)
+        own = np.where(bounds[i] == at.to_numpy(), part, times[i] - 1)
+        return pd.Series(np.where(above, 0, before[i] + own).astype(np.int32))
+
+    dealt = docs.withColumn("_range", range_of("_at", "_h"))
     # At most as many rows as ranges.
-    firsts = sorted((r["_range"], r["_first"]) for r in dealt.groupBy("_range").agg(F.max("_at").alias("_first")).collect())
-    host = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-
-    @F.pandas_udf("int")
-    def host_of(at: pd.Series) -> pd.Series:
-        return at.map(host).astype("int32")
-
-    guests = docs.where(F.col("_at").isin(list(host))).withColumn("_range", host_of("_at"))
-    both = dealt.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)))
-    return both.select("_range", "_guest", "_at", "doc_id", "text").repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", F.desc("_at"), "text")
+    firsts = dealt.groupBy("_range").agg(F.max(F.struct("_at", F.bitwise_not("_h").alias("_not_h"))).alias("first"))
+    firsts = sorted((r["_range"], r["first"]["_at"], ~r["first"]["_not_h"]) for r in firsts.collect())
+    hosts = [(at, h, firsts[i - 1][0]) for i, (_, at, h) in enumerate(firsts)]
+    hosts = docs.sparkSession.createDataFrame(hosts, "_at long, _h long, _range int")
+    both = dealt.withColumn("_guest", F.lit(False)).unionByName(docs.join(F.broadcast(hosts), ["_at", "_h"]).withColumn("_guest", F.lit(True)))
+    return both.select("_range", "_guest", "_at", "_h", "doc_id", "text").repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", F.desc("_at"), "_h", "text")
 
 
 def edited_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, key string, id string, n string, range string, band string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = " ".join(f"passage{i} of many words" for i in range(20))
@@ -68,5 +70,11 @@ def removed(texts, length):
     return out
 
 
+def hashed(text):
+    """The signed 64-bit hash by which rows of one doc_id follow one another."""
+    x = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())

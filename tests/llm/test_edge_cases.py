@@ -122,7 +122,7 @@ def test_targets_of_one_and_of_empty_sources(spark):
 
 
 def test_fingerprints(docs, none):
-    rows = sorted(cases.rows(), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    rows = sorted(cases.rows(), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), cases.hashed(r[1] or "")))
 
     def edited(i):
         text, following = rows[i][1] or "", rows[(i + 1) % len(rows)][1] or ""

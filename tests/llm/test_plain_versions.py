@@ -142,6 +142,20 @@ def test_digests_one_by_one(spark):
         assert abs(r.near_next - plain_likeness(codes[i], codes[i - 1])) < 1e-9
 
 
+def test_many_rows_of_one_doc_id_are_dealt_to_ranges(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of many" * (i % 5 + 1)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = [r["count"] for r in fingerprints._ranges(docs, 24).where("NOT _guest").groupBy("_range").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 120
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), cases.hashed(r[1])))
+    wanted = Counter()
+    for (i, text), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        wanted[i, len(text), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    for ranges in (24, 3, 1):
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited_neighbours(docs, ranges).collect()) == wanted
+
+
 def test_edited_texts_are_nearer_than_others():
     draw = random.Random(3)
     words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(2, 10))) for _ in range(3000)]
