@@ -11,7 +11,7 @@ n log n at most, so that one pre-token of a megabyte does no harm.
 
 Texts are first cut at single spaces between two non-space characters: no match of the
 pattern spans such a cut, so the parts can be encoded alone and kept in a cache
-of at most 128 MB a worker.
+of at most 160 MB a worker.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; repeated rows get
 equal results; a text of any length is encoded whole; an empty table gives no rows; other
@@ -46,12 +46,15 @@ _BIT = [1 << i for i in range(1024)]
 class Codec:
     """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately; ``keep``: bytes of cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 128 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 160 << 20):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         if max(ranks.values(), default=0) >> 8 >= len(_BIT):
             raise ValueError("more ranks than the bitmap has")
         self.parts, self.pieces = Cache(keep // 4 * 3), Cache(keep // 4)
         self.leaf = [0] * (max(ranks.values(), default=0) // 256 + 1)  # all zero between calls
+        #: The ids of single bytes, and the ranks of pairs of bytes (-1: none).
+        self.ones = [ranks.get(bytes([x])) for x in range(256)]
+        self.twos = [ranks.get(bytes([x >> 8, x & 255]), -1) for x in range(1 << 16)]
         size = max(ranks.values(), default=-1) + 1
         by_id = [b""] * size
         for token, rank in ranks.items():
@@ -70,21 +73,25 @@ class Codec:
 
         The queue is written out here, as calls would double the time: ``buckets`` holds
         the positions of each rank (one, or a heap), ``leaf`` has a bit for each rank with a bucket,
-        and ``top`` has a bit for each word of ``leaf`` that isn't zero.
+        and ``top`` has a bit for each word of ``leaf`` that isn't zero.  ``alive`` counts the
+        pairs that can still be merged; at none, what the queue holds is stale.
         """
         get, bit = self.ranks.get, _BIT
         whole = get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        ends, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * (n + 1)
-        leaf, top = self.leaf, 0
+        n, twos = len(piece), self.twos
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ids = list(map(self.ones.__getitem__, piece))
+        pair = [twos[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        new = [i for i, rank in enumerate(pair) if rank >= 0]
+        pair.append(-1)
+        leaf, top, alive = self.leaf, 0, len(new)
         buckets: dict[int, int | list[int]] = {}
         bucket_of = buckets.get
-        new = [(i, rank) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
-        while True:
-            for i, rank in new:
-                pair[i] = rank
+        while alive:
+            for i in new:
+                rank = pair[i]
                 bucket = bucket_of(rank)
                 if bucket is None:
                     buckets[rank] = i
@@ -95,7 +102,7 @@ class Codec:
                     heappush(bucket, i)
                 else:
                     buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
-            while top:
+            while True:
                 # The first set bit of each level gives the lowest rank.
                 word = (top & -top).bit_length() - 1
                 bits = leaf[word]
@@ -115,26 +122,35 @@ class Codec:
                 if pair[i] == rank:
                     break
                 # Stale: the pair is gone.
-            else:
-                break
+            ids[i] = rank
             middle = ends[i]
             end = ends[i] = ends[middle]
+            alive -= 1 if pair[middle] < 0 else 2
             pair[i] = pair[middle] = -1
             new = []
             if end < n:
                 before[end] = i
-                if (rank := get(piece[i : ends[end]])) is not None:
-                    new.append((i, rank))
+                rank = get(piece[i : ends[end]], -1)
+                if rank >= 0:
+                    pair[i] = rank
+                    new.append(i)
             left = before[i]
             if left >= 0:
-                pair[left] = -1
-                if (rank := get(piece[left:end])) is not None:
-                    new.append((left, rank))
-        ids, i = [], 0
+                if pair[left] >= 0:
+                    alive -= 1
+                pair[left] = rank = get(piece[left:end], -1)
+                if rank >= 0:
+                    new.append(left)
+            alive += len(new)
+        while top:  # what is left is stale
+            word = top.bit_length() - 1
+            leaf[word] = 0
+            top ^= bit[word]
+        found, i = [], 0
         while i < n:
-            ids.append(get(piece[i : ends[i]]))
+            found.append(ids[i])
             i = ends[i]
-        return ids
+        return found
 
     def _pieces(self, part: str) -> bytes:
         """The ids of a part, piece by piece.  A piece that begins with a space is a part by itself, and kept as one."""
