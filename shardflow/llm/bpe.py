@@ -11,7 +11,7 @@ n log n at most, so that one pre-token of a megabyte does no harm.
 
 Texts are first cut at single spaces between two non-space characters: no match of the
 pattern spans such a cut, so the parts can be encoded alone and kept in a cache
-of at most 96 MB a worker.
+of bounded bytes.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; repeated rows get
 equal results; a text of any length is encoded whole; an empty table gives no rows; other
@@ -41,12 +41,14 @@ _EDGE = regex.compile(rf"^[{_WHITE}]|[{_WHITE}]$|^$")
 
 #: Bit i, and bit i in a word of 256.
 _BIT = [1 << i for i in range(1024)]
+#: Bytes of cache in each worker, where other steps share it.
+CACHE = 96 << 20
 
 
 class Codec:
     """``ranks``: the id of each token's bytes; ``pattern``: what is merged separately; ``keep``: bytes of cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 96 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = CACHE):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         if max(ranks.values(), default=0) >> 8 >= len(_BIT):
             raise ValueError("more ranks than the bitmap has")
@@ -64,9 +66,9 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(by_id) or b"\0", np.uint8)
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> Codec:
+    def load(cls, path: str, pattern: str, keep: int = CACHE) -> Codec:
         with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
+            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern, keep)
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of one pre-token.
@@ -187,14 +189,14 @@ class Codec:
         return self.bytes[at].tobytes()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker, which keeps its cache from task to task."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec.load(path, pattern)
-    return _codecs[path, pattern]
+def codec(path: str, pattern: str, keep: int = CACHE) -> Codec:
+    """One for each Python worker, which keeps its cache of ``keep`` bytes from task to task."""
+    if (path, pattern, keep) not in _codecs:
+        _codecs[path, pattern, keep] = Codec.load(path, pattern, keep)
+    return _codecs[path, pattern, keep]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -239,12 +241,12 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in kept) + ", n_tokens long, ids array<int>, decoded_sha256 string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, encoded and decoded again in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: int = 256 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, encoded and decoded again in one pass with ``keep`` bytes of cache a worker."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, keep)
         for batch in slices(batches):
             counts, ids, decoded = [], [], []
             for text in texts(batch):
