@@ -11,12 +11,12 @@ treated apart without losing a match, and nothing unique is sorted.
 
 *Merge.*  A task takes whole anchors, about a megabyte at a time, and deals their contexts
 to shards.  Each shard has its own Burrows-Wheeler transform over blocks: the 25 bytes before each
-suffix, in the order of the suffixes.  The transforms are merged by refining an interleave: it begins with the
+suffix, in the order of the suffixes by 200 bytes.  The transforms are merged by refining an interleave: it begins with the
 shards one after another, and in each round the blocks, read in the order of the
-interleave, are dealt stably by symbol; the next interleave is the shards' numbers in the
-order dealt.  After t rounds the suffixes are in order by 25 t bytes; no suffix is
-compared or sorted again.  With each round the common prefixes come along: neighbours
-share 25 more bytes if their symbols are equal and they shared all before.  After 8 rounds
+interleave, are dealt stably by symbol.  After t rounds the suffixes are in order by 25 t bytes; no suffix is
+compared again.  With each round the common prefixes come along: neighbours
+share 25 more bytes if their symbols are equal and they shared all before.  An interval
+of one suffix has its final place, so the next rounds deal only the blocks whose suffixes go to longer ones.  After 8 rounds
 the intervals of suffixes with a common prefix of 200 bytes are the repeated windows.
 
 *Hot anchors.*  An anchor with more than ``most`` different contexts would make a large
@@ -113,53 +113,96 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("did", "rid", "text").mapInArrow(run, "did long, rid long, begin int, size int, anchor long, context long, place int")
 
 
+def _packed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of ``keys`` (of so many bits) and the keys in that order.  Numbers are sorted much faster than places, so the place goes into the low bits if it fits."""
+    low = len(keys).bit_length()
+    if bits + low > 63:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    dealt = np.sort(keys << low | np.arange(len(keys)))
+    return dealt & ((1 << low) - 1), dealt >> low
+
+
+def _changes(*ordered: np.ndarray) -> np.ndarray:
+    """Where a run of equals begins."""
+    first = np.ones(len(ordered[0]), bool)
+    first[1:] = False
+    for x in ordered:
+        first[1:] |= x[1:] != x[:-1]
+    return first
+
+
 def _dense(keys: np.ndarray) -> np.ndarray:
-    """The rank of each key among the different keys."""
-    order = np.argsort(keys)
+    """The rank of each key (63 bits) among the different keys."""
+    keys, low = keys.view(np.int64), len(keys).bit_length()
+    order, short = _packed(keys >> low, 63 - low)
     ordered = keys[order]
+    first = _changes(ordered)
+    if (first[1:] & (short[1:] == short[:-1])).any():  # different keys with the same high bits may be mixed
+        order = np.argsort(keys)
+        first = _changes(keys[order])
     out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    out[order] = np.cumsum(first) - 1
     return out
 
 
+class Intervals:
+    """Items in ``order``, and the interval of equals of each item: the ``number`` of the first place in the order.
+
+    An interval of one item is settled, and refining it is skipped.
+    """
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        self.order, ordered = _packed(keys, bits)
+        self.number = np.empty(len(keys), np.int64)
+        self._numbered(np.arange(len(keys)), self.order, _changes(ordered))
+
+    def _numbered(self, at: np.ndarray, items: np.ndarray, first: np.ndarray) -> None:
+        self.number[items] = np.maximum.accumulate(np.where(first, at, 0))
+        alone = first & np.append(first[1:], True)
+        self.at = at[~alone]
+        self.open = items[~alone]  # the items that aren't settled, in order
+
+    def refine(self, by: np.ndarray) -> None:
+        """Deals each interval stably by the numbers ``by`` of its items, given for ``open``."""
+        if not len(self.open):
+            return
+        bits = len(self.number).bit_length()
+        taken, ordered = _packed(self.number[self.open] << bits | by, 2 * bits)
+        items = self.open[taken]
+        self.order[self.at] = items
+        self._numbered(self.at, items, _changes(ordered))
+
+
 class Shard:
-    """The block transform of some texts: ``order``, the places of the suffixes in order, and ``symbols``, the block before each."""
-
-    def __init__(self, begins: np.ndarray, ends: np.ndarray, blocks: np.ndarray, before: np.ndarray):
-        """Texts from ``begins`` to ``ends`` (with a byte of padding) of a batch.  ``blocks``: the symbol of the block at each place, which is a symbol of its own for the last 25 places of a text; ``before``: that of the block before it."""
-        places = np.concatenate([np.arange(b, e) for b, e in zip(begins, ends, strict=True)])
-        base, local = places[0], places - places[0]
-        rank, reach = _dense(blocks[places]), STEP
-        own_end = np.repeat(ends, ends - begins) - base
-        while rank.max() + 1 < len(rank):
-            further = np.minimum(local + reach, len(local) - 1)
-            # Past the text's end, or at its last blocks, every suffix is of its own already.
-            second = np.where(local + reach < own_end, rank[further], 0)
-            rank, reach = _dense(rank << 32 | second), reach * 2
-        self.order = np.empty(len(places), np.int64)
-        self.order[rank] = places
+    """The block transform of some texts: ``order``, the places of the suffixes in order by ``length`` bytes, and ``symbols``, the block before each."""
+
+    def __init__(self, begin: int, end: int, blocks: np.ndarray, before: np.ndarray, length: int):
+        """Texts from ``begin`` to ``end`` (with a byte of padding each) of a batch.  ``blocks``: the symbol of the block at each place, which is a symbol of its own for the last 25 places of a text; ``before``: that of the block before it."""
+        suffixes, reach = Intervals(blocks[begin:end], len(blocks).bit_length()), STEP
+        while reach < length:
+            # A suffix that ends within the reach is of its own already, so what stands there is of the same text.
+            suffixes.refine(suffixes.number[suffixes.open + reach])
+            reach *= 2
+        self.order = suffixes.order + begin
         self.symbols = before[self.order]
 
 
 def merge(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all suffixes in order, and the number of each one's interval of suffixes with ``length`` common bytes."""
-    interleave = np.repeat(np.arange(len(shards), dtype=np.int16), [len(s.order) for s in shards])
-    n = len(interleave)
-    interval = np.zeros(n, np.int64)
-    symbols = np.empty(n, np.int64)
-    numbers, low = np.arange(n, dtype=np.int64), (1 << 32) - 1
-    for _ in range(-(-length // STEP)):
-        for j, shard in enumerate(shards):
-            symbols[interleave == j] = shard.symbols
-        dealt = np.sort(symbols << 32 | numbers)  # stable, as the places are the low bits
-        taken, symbol = dealt & low, dealt >> 32
-        before = interval[taken]
-        interleave = interleave[taken]
-        interval = np.cumsum(np.concatenate([[0], (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])]))
-    places = np.empty(n, np.int64)
-    for j, shard in enumerate(shards):
-        places[interleave == j] = shard.order
-    return places, interval
+    """The places of all suffixes in order by ``length`` bytes, and the number of each one's interval of suffixes with ``length`` common bytes."""
+    symbols = np.concatenate([s.symbols for s in shards])
+    bits = int(symbols.max()).bit_length()
+    # Round one deals the blocks of the shards, one shard after another.  A shard's blocks keep their order in
+    # every deal, so that each one's suffix in the shard, and what it is dealt ``after``, stay the same.
+    after, begin = np.empty(len(symbols), np.int64), 0
+    for shard in shards:
+        end = begin + len(shard.order)
+        after[begin:end] = _packed(shard.symbols, bits)[0] + begin
+        begin = end
+    interleave = Intervals(symbols[after], bits)
+    for _ in range(-(-length // STEP) - 1):
+        interleave.refine(interleave.number[after[interleave.open]])
+    return np.concatenate([s.order for s in shards])[interleave.order], interleave.number[interleave.order]
 
 
 def repeated(found: list[bytes], weights: np.ndarray, length: int, shard_bytes: int = 1 << 18) -> np.ndarray:
@@ -183,7 +226,7 @@ def repeated(found: list[bytes], weights: np.ndarray, length: int, shard_bytes:
     before[first] = blocks[last]
     cuts = np.unique(np.searchsorted(ends, np.arange(shard_bytes, n, shard_bytes)))
     groups = [g for g in np.split(np.arange(len(found)), cuts) if len(g)]
-    order, interval = merge([Shard(begins[g], ends[g], blocks, before) for g in groups], length)
+    order, interval = merge([Shard(int(begins[g[0]]), int(ends[g[-1]]), blocks, before, length) for g in groups], length)
     held = np.bincount(interval, np.repeat(weights, sizes)[order])
     out = np.zeros(n, bool)
     out[order] = held[interval] > 1
