@@ -271,14 +271,18 @@ def _open(members: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
 def _with_buckets(open_: DataFrame, sizes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """What ``_compared`` takes, and the stored steps it reads: blocks of asking nodes that have the smallest center in common, and the nodes of all buckets of these.
 
-    A node goes to a block once, however many buckets they share.  Both sides of a block are
+    A node goes to a block once, however many buckets they share, and not for a bucket in
+    which it asks itself, in an earlier block with the same center.  Both sides of a block are
     dealt to parts, so that each task has a bounded share, also of long texts.
     """
     asking = open_.where("asks").groupBy("id").agg(F.min("center").alias("center"), F.min("of").alias("of")).join(sizes, "id")
     blocks = asking.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / ASK, F.sum("n_shingles") / SHINGLES)).cast("int").alias("blocks"))
     asking = stored(asking.join(blocks, "center").select("center", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "of"))
-    meets = open_.where("asks").select("band", "id").join(asking.select("id", F.col("center").alias("_center"), "block"), "id").select("_center", "block", "band").distinct()
-    answers = stored(open_.select("band", "id", "of").join(meets, "band").select(F.col("_center").alias("center"), "block", "id", "of").distinct())
+    asks = open_.where("asks").select("band", "id", "of").join(asking.select("id", F.col("center").alias("own"), F.col("block").alias("own_block")), "id")
+    meets = asks.select(F.col("own").alias("center"), F.col("own_block").alias("block"), "band").distinct()
+    # Two that ask in one bucket, with one center and in different blocks, meet in the earlier block.
+    every = asks.unionByName(open_.where("NOT asks").select("band", "id", "of"), allowMissingColumns=True).join(meets, "band")
+    answers = stored(every.where("own IS NULL OR own != center OR own_block >= block").select("center", "block", "id", "of").distinct())
     parts = answers.groupBy("center", "block").agg(F.ceil(F.count("*") / ANSWER).cast("int").alias("parts"))
     one = answers.join(parts, ["center", "block"]).select("center", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("answers"), "id", "of")
     two = asking.join(parts, ["center", "block"]).select("center", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("answers"), "id", "of")
